@@ -42,17 +42,22 @@ def _cell(key: Column, sub: Column, m: Column) -> Column:
 
 
 def cells_for(n: Column) -> Column:
-    """Cells of a subtable for n digests: the power of two from n / 2 on, within bounds."""
-    return F.least(F.greatest(F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(n, F.lit(1)) / 2.0))).cast("long"), F.lit(LEAST).cast("long")), F.lit(MOST).cast("long"))
+    """Cells of a subtable for n digests: the power of two from n on, within bounds. So the difference of two unrelated texts
+    of about that many paragraphs still peels."""
+    return F.least(F.greatest(F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(n, F.lit(1)).cast("double")))).cast("long"), F.lit(LEAST).cast("long")), F.lit(MOST).cast("long"))
 
 
 def _zero() -> Column:
     return F.struct(F.lit(0).alias("c"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("h"))
 
 
+def _group(m: Column) -> Column:
+    return F.pow(F.lit(2.0), F.floor(F.log2(m.cast("double")) / 2)).cast("long")
+
+
 def table(keys: Column, m: Column) -> Column:
     """3 m cells. Digests are first split into groups of cells, so that the work grows as n times the root of m."""
-    group = F.greatest(F.lit(1).cast("long"), F.pow(F.lit(2.0), F.floor(F.log2(m.cast("double")) / 2)).cast("long"))
+    group = _group(m)
     add = lambda s, x: F.struct((s["c"] + 1).alias("c"), s["k"].bitwiseXOR(x).alias("k"), s["h"].bitwiseXOR(_check(x)).alias("h"))
 
     def sub(t: int) -> Column:
@@ -78,7 +83,12 @@ def peel(cells: Column, m: Column) -> Column:
 
         def remove(found: Column) -> Column:
             take = lambda a, p: F.struct((a["c"] - p["c"]).alias("c"), a["k"].bitwiseXOR(p["k"]).alias("k"), a["h"].bitwiseXOR(_check(p["k"])).alias("h"))
-            left = F.transform(s["cells"], lambda c, i: F.aggregate(F.filter(found, lambda p: _cell(p["k"], F.floor(i / m), m) == F.pmod(i, m)), c, take))
+            group = _group(m)
+            many = F.floor(m / group)
+            mine = lambda own, q, i: F.filter(own, lambda p: _cell(p["k"], F.floor(q / many), m) == F.pmod(q, many) * group + i)
+            part = lambda q, own: F.transform(F.slice(s["cells"], (q * group + 1).cast("int"), group.cast("int")), lambda c, i: F.when((c["c"] == 0) & (c["k"] == 0), c).otherwise(F.aggregate(mine(own, q, i), c, take)))
+            near = lambda q: F.filter(found, lambda p: F.floor(_cell(p["k"], F.floor(q / many), m) / group) == F.pmod(q, many))
+            left = F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), many * 3 - 1), lambda q: _let(near(q), lambda own: part(q, own))))
             of = lambda sign: F.transform(F.filter(found, lambda p: p["c"] == sign), lambda p: p["k"])
             return F.when(F.size(found) == 0, F.struct(s["cells"].alias("cells"), s["first"].alias("first"), s["second"].alias("second"), F.lit(True).alias("done"))).otherwise(
                 F.struct(left.alias("cells"), F.concat(s["first"], of(1)).alias("first"), F.concat(s["second"], of(-1)).alias("second"), F.lit(False).alias("done"))
@@ -100,7 +110,7 @@ def with_comparison(rows: DataFrame, one: str, other: str, out: str, cells: str,
     rows = rows.withColumn("__diff", difference(F.col(cells), F.col("__there"))).withColumn(out, peel(F.col("__diff"), F.col(m)))
     for attempt in range(1, ATTEMPTS):
         failed = F.col(f"{out}.left") > 0
-        room = F.greatest(F.col(m), cells_for((F.size(a) + F.size(b)).cast("double"))) * GROWTH ** (attempt - 1) * 2
+        room = F.greatest(F.col(m), cells_for((F.size(a) + F.size(b)).cast("double"))) * GROWTH ** (attempt - 1)
         rows = rows.withColumn("__m", F.least(room, F.lit(MOST).cast("long")))
         rows = rows.withColumn("__here", F.when(failed, table(a, F.col("__m")))).withColumn("__there", F.when(failed, table(b, F.col("__m"))))
         rows = rows.withColumn("__diff", difference(F.col("__here"), F.col("__there")))
