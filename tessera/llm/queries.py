@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, fingerprint, langid, mixing, sql, topk, toxicity, urlfilter, warc
+from tessera.llm import bpe, fingerprint, langid, linededup, mixing, sql, topk, toxicity, urlfilter, warc
 from tessera.session import materialize, read_table, scratch_path
 
 
@@ -52,6 +52,11 @@ def op7_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(read_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.dedup(docs).withColumn("n_removed", F.size("dropped"))
+
+
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return fingerprint.edited_pairs(read_table(spark, sf_dir, "documents"), min(buckets, 4096))
@@ -82,6 +87,7 @@ def queries():
         "op5_langid": op5_langid,
         "op6_warc": op6_warc,
         "op7_urlfilter": op7_urlfilter,
+        "op8_linededup": op8_linededup,
         "op9_fingerprint": op9_fingerprint,
         "op10_mixing": op10_mixing,
     }
