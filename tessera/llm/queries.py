@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, fingerprint, langid, linededup, mixing, sql, topk, toxicity, urlfilter, warc
+from tessera.llm import bpe, fingerprint, langid, linededup, mixing, ngramjoin, sql, topk, toxicity, urlfilter, warc
 from tessera.session import materialize, read_table, scratch_path
 
 
@@ -20,6 +20,10 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, F.col("vec_id") % 20 == 0)
 
 
+def op2_ngramjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.join(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return bpe.encode_column(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=["doc_id"], with_ids=False)
@@ -82,6 +86,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries():
     return {
         "op1_topk": op1_topk,
+        "op2_ngramjoin": op2_ngramjoin,
         "op3_bpe": op3_bpe,
         "op4_toxicity": op4_toxicity,
         "op5_langid": op5_langid,
