@@ -14,6 +14,7 @@ import re
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -187,7 +188,7 @@ def encode_column(docs: DataFrame, path: str, pattern: str, text: str = "text",
                 out["ids_sha256"].append(hashlib.sha256(" ".join(map(names, ids)).encode()).hexdigest())
                 out["decoded_sha256"].append(hashlib.sha256(bpe.decode(ids)).hexdigest())
                 if with_ids:
-                    out["ids"].append(ids)
+                    out["ids"].append(np.array(ids, dtype=np.int32))
             yield batch.assign(**out)
 
     return rows.mapInPandas(run, schema)
