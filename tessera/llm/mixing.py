@@ -36,7 +36,7 @@ def targets(sources: DataFrame, weights: Column, most: int = MOST_EPOCHS) -> Dat
     left = F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(up), F.lit(0.0))
     weight_left = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(up), F.lit(0))
     rows = rows.withColumn("level", left / weight_left).withColumn("open", F.col("cap") > F.col("weight") * F.col("level"))
-    level = F.min(F.when(F.col("open"), F.col("level"))).over(everything)
+    level = F.max(F.when(F.col("open"), F.col("level"))).over(everything)  # rises over the capped ones, falls after
     return rows.withColumn("target", F.round(F.when(F.col("open"), F.col("weight") * level).otherwise(F.col("cap")), 6)).drop("weight", "cap", "level", "open")
 
 

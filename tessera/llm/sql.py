@@ -65,7 +65,7 @@ levels as (
     / (sum(w) over () - coalesce(sum(w) over (order by 3.0::double * source_size / w, source nulls last rows between unbounded preceding and 1 preceding), 0)) as level
   from sizes),
 aimed as (
-  select source, source_size, round(case when cap > w * level then w * min(case when cap > w * level then level end) over () else cap end, 6) as target from levels),
+  select source, source_size, round(case when cap > w * level then w * max(case when cap > w * level then level end) over () else cap end, 6) as target from levels),
 split as (
   select *, case when source_size > 0 then floor(target / source_size) else 0 end::bigint as epochs from aimed),
 ranked as (
