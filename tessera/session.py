@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,3 +61,17 @@ def discard(df: DataFrame) -> None:
         jvm = df.sparkSession.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Let the executors' Python import the package: where their path lacks it, it goes along as a zip."""
+    home = Path(__file__).resolve().parent.parent
+    if any(Path(p or ".").resolve() == home for p in [*os.environ.get("PYTHONPATH", "").split(":"), "."]):
+        return
+    if str(home) not in getattr(spark.sparkContext, "_tessera_shipped", ()):
+        target = Path(tempfile.mkdtemp(prefix="tessera-")) / "tessera_code.zip"
+        with zipfile.ZipFile(target, "w") as out:
+            for f in sorted(home.glob("tessera/**/*.py")):
+                out.write(f, f.relative_to(home))
+        spark.sparkContext.addPyFile(str(target))
+        spark.sparkContext._tessera_shipped = (str(home),)
