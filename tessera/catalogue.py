@@ -1,17 +1,340 @@
-"""Registered queries of the linkage engine."""
+"""Registered queries of the linkage engine, over the records made of ``documents``, and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions import similarity, text
+from tessera.operators import audit, blocking, context, decide, dictionaries, evaluate, features, model, validate
+from tessera.plans import link, records
+from tessera.session import materialize, read_table
+from tessera.sources import tsv
+
+#: Block size cap of the queries; the default of 200 binds only on larger tables.
+CAP = 20
+
+
+def _signed(spark: SparkSession, d: str) -> DataFrame:
+    return records.signatures(records.from_documents(read_table(spark, d, "documents")))
+
+
+def _keys(spark: SparkSession, d: str, bits: int = 0x67) -> DataFrame:
+    signed = _signed(spark, d)
+    return blocking.keys(signed, blocking.rare_words(signed, blocking.idf(signed)), bits)
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    return blocking.candidates(blocking.keys(_signed(spark, d), None, blocking.K7), CAP)
+
+
+def _attached(spark: SparkSession, d: str) -> DataFrame:
+    return features.native(features.attach(_pairs(spark, d), _signed(spark, d)))
+
+
+def _truth(spark: SparkSession, d: str) -> DataFrame:
+    """Equal texts in one language; a satellite belongs to the lowest source-1 record."""
+    docs = read_table(spark, d, "documents").where("text is not null").select("doc_id", "lang", "text", (F.col("doc_id") % 3).alias("m"))
+    one = docs.where("m = 0").groupBy("lang", "text").agg(F.min("doc_id").alias("s1"))
+    return docs.where("m <> 0").join(one, ["lang", "text"]).select("s1", F.col("doc_id").alias("s23"))
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs with a made-up probability that SQL can repeat, and a flag for a missing address."""
+    p = F.col("s1") * 7919 + F.col("s23") * 104_729
+    return _pairs(spark, d).select("s1", "s23", ((p % 1009) / 1009.0).alias("p"), (F.col("s23") % 5 == 0).alias("noaddr"))
+
+
+def _entities(spark: SparkSession, d: str) -> DataFrame:
+    return _signed(spark, d).where("src = 1").select(F.col("entity_id").alias("s1"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Exact squashed names within a country, each satellite with one owner, a list of ids for every source-1 record."""
+    pairs = context.owners(_scored(spark, sf_dir)).withColumn("rank", F.struct((-F.col("p")).alias("p"), "s23"))
+    return tsv.id_lists(_entities(spark, sf_dir), pairs)
+
+
+def _round(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+FEATURES = ["sq_prefix", "core_jacc", "core_contain", "acronym", "sfx_compat", "num_jacc", "num_contain", "lead_eq", "lead_in", "num_near", "addr_jacc", "sq_prefix_frac", "name_len_diff", "name_ntok_diff", "addr_ntok_a", "addr_ntok_b", "n_nums_a", "n_nums_b", "b_src", "n_keys"]
+
+
+def _rarity(s, d):
+    signed = _signed(s, d)
+    out = features.rarity(_pairs(s, d).select("s1", "s23"), signed, blocking.idf(signed), "addr", "idf")
+    return _round(out, *[c for c in out.columns if c.startswith("idf_")])
+
+
+def _name_stats(s, d):
+    signed = _signed(s, d)
+    out = features.squash_counts(_pairs(s, d).select("s1", "s23"), signed)
+    return _round(out, "sq_n_s1_a", "sq_n_s1_b", "sq_n_s23_b")
+
+
+def _vectors(s, d):
+    v = read_table(s, d, "embeddings").select("vec_id", "embedding")
+    dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda t, x: t + x)
+    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("s1"), F.col("embedding").alias("a"))
+    met = v.select(F.col("vec_id").alias("s23"), F.col("embedding").alias("b")).join(q, F.col("s1") != F.col("s23")).select("s1", "s23", F.round(dot, 6).alias("sim"))
+    return blocking.top_k(met, "s1", "sim", "s23", 10)
+
+
+def _submission(s, d):
+    rows = read_table(s, d, "documents").where("doc_id % 3 = 0")
+    return rows.select(F.concat(F.lit("S1-"), F.col("doc_id").cast("string")).alias("source1_entity_id"), F.concat(F.lit("S"), (F.col("doc_id") % 4).cast("string"), F.lit("-"), F.col("n_chars").cast("string"), F.lit(",S2-7,S2-7")).alias("matched_entity_ids"))
+
+
+def _findings(s, d):
+    required = read_table(s, d, "documents").where("doc_id % 6 = 0 or doc_id % 7 = 1").select(F.concat(F.lit("S1-"), F.col("doc_id").cast("string")).alias("s1"))
+    return validate.findings(_submission(s, d), required).select("rule", "severity", "n")
+
+
+def _decided(mode, tau=0.3, tau_noaddr=None):
+    return lambda s, d: decide.decide(_scored(s, d), tau, mode, tau_noaddr).select("s1", "s23", "rank")
+
+
+def _groups(column):
+    other = "s23" if column == "s1" else "s1"
+    return lambda s, d: _round(context.group_stats(_scored(s, d), column, "p", other, "g"), "p", "g_margin", "g_sum").drop("noaddr")
+
+
+def _block(bit):
+    return lambda s, d: _keys(s, d).where(F.col("bit") == bit).groupBy("country", "src", "key").agg(F.count("*").alias("n"), F.min("entity_id").alias("least"))
+
+
+def _report(s, d):
+    n = _signed(s, d).agg(F.sum((F.col("src") == 1).cast("long")).alias("a"), F.sum((F.col("src") != 1).cast("long")).alias("b")).first()
+    out = evaluate.blocking_report(blocking.candidates(_keys(s, d), CAP), _truth(s, d), n.a or 0, n.b or 0)
+    return _round(out.select("pair_completeness", "k1_recall", "k2_recall", "k3_recall", "k6_recall", "k7_recall", "k3_only", "k7_only", "found", "n_candidates", "reduction_ratio"), "pair_completeness", "k1_recall", "k2_recall", "k3_recall", "k6_recall", "k7_recall", "k3_only", "k7_only", "reduction_ratio")
+
+
+def _fuzzy(s, d):
+    rows = features.fuzzy(features.attach(_pairs(s, d), _signed(s, d)))
+    return rows.select("s1", "s23", *[c for c in rows.columns if c.endswith(("_ratio", "_partial", "_tsort", "_tset", "_lcs"))])
+
+
+def _jaro(s, d):
+    pairs = _pairs(s, d)
+    name = _signed(s, d).select("entity_id", "name_c", F.array_join("addr", " ").alias("a"))
+    rows = pairs.join(name.toDF("s1", "n1", "a1"), "s1").join(name.toDF("s23", "n2", "a2"), "s23")
+    return rows.select("s1", "s23", F.round(similarity.jaro_winkler_udf("a1", "a2"), 6).alias("addr_jw"), F.levenshtein("a1", "a2").alias("addr_edit"))
+
+
+def _model(s, d):
+    return link.link(_signed(s, d), _truth(s, d), cap=CAP, trees=3)
 
 
 def queries() -> dict:
-    return {}
+    return {
+        "owner_id_lists": flagship,
+        "records_canon": lambda s, d: records.from_documents(read_table(s, d, "documents")),
+        "signatures": lambda s, d: _signed(s, d).select("entity_id", "country", "src", "name_c", F.array_join("core", " ").alias("core"), "sfx", "squash", F.array_join("addr", " ").alias("addr"), F.array_join("nums", " ").alias("nums"), "is_domain", "addr_empty"),
+        "flags_quality": lambda s, d: read_table(s, d, "pages").select("page_id", text.is_domain(F.regexp_extract("url", "://([^/]*)", 1)).alias("is_domain"), text.has_indic(F.col("html")).alias("has_indic")),
+        "idf_tokens": lambda s, d: _round(blocking.idf(_signed(s, d)), "idf"),
+        "rare_words": lambda s, d: blocking.rare_words(_signed(s, d), blocking.idf(_signed(s, d))).select("entity_id", F.array_join("rare", " ").alias("rare")),
+        "block_k1": _block(blocking.K1),
+        "block_k2": _block(blocking.K2),
+        "block_k3": _block(blocking.K3),
+        "block_k6": _block(blocking.K6),
+        "block_k7": _block(blocking.K7),
+        "block_capped": _pairs,
+        "candidate_union": lambda s, d: blocking.candidates(_keys(s, d), CAP),
+        "topk_candidates": lambda s, d: blocking.top_k(_scored(s, d), "s1", "p", "s23", 3).select("s1", "s23", "rank"),
+        "feat_native": lambda s, d: _round(_attached(s, d).select("s1", "s23", *FEATURES), "core_jacc", "core_contain", "num_jacc", "num_contain", "addr_jacc", "sq_prefix_frac"),
+        "feat_idf_overlap": _rarity,
+        "feat_name_counts": _name_stats,
+        "feat_jaro_winkler": _jaro,
+        "feat_ratio_family": _fuzzy,
+        "metaphone_keys": lambda s, d: _keys(s, d, blocking.K4),
+        "trigram_topk": lambda s, d: blocking.trigram_top_k(*[_signed(s, d).where(c).select("entity_id", "country", F.col("name_c").alias("text")) for c in ("src = 1", "src <> 1")], k=30),
+        "group_stats_s1": _groups("s1"),
+        "group_stats_s23": _groups("s23"),
+        "owner_partition": lambda s, d: context.owners(_scored(s, d)).select("s1", "s23"),
+        "decide_threshold": _decided("threshold"),
+        "decide_partition": _decided("partition", 0.3, 0.6),
+        "decide_full": _decided("full", 0.1),
+        "decide_full_exact": _decided("full_exact", 0.1),
+        "macro_f05": lambda s, d: _round(evaluate.macro_f05(decide.decide(_scored(s, d), 0.3), _truth(s, d), _entities(s, d)), "macro_f05"),
+        "tau_sweep": lambda s, d: _round(decide.sweep(materialize(_scored(s, d), "scored"), _truth(s, d), _entities(s, d), ("partition", "threshold")), "macro_f05", "tau"),
+        "blocking_diagnostics": _report,
+        "legal_suffixes": lambda s, d: dictionaries.legal_loose(_signed(s, d), 0.01),
+        "legal_strict": lambda s, d: dictionaries.legal_strict(_signed(s, d), 0.003, 0.5, 2),
+        "abbreviations": lambda s, d: dictionaries.abbreviations(dictionaries.pseudo_pairs(_signed(s, d)), 1),
+        "vector_topk_cosine": _vectors,
+        "validator_findings": _findings,
+        "roles_folds": lambda s, d: model.roles(_entities(s, d)),
+        "pair_set_diff": lambda s, d: audit.pair_diff(_pairs(s, d).select("s1", "s23"), context.owners(_scored(s, d)).select("s1", "s23")),
+        "symmetric_diff_tokens": lambda s, d: audit.symmetric_tokens(_attached(s, d).select(F.array_distinct("a_addr").alias("a"), F.array_distinct("b_addr").alias("b")), "a", "b"),
+        "audit_slices": lambda s, d: audit.slices(_attached(s, d).join(_signed(s, d).select(F.col("entity_id").alias("s1"), "country"), "s1")),
+        "link_model": _model,
+    }
+
+
+_LEGAL = ", ".join(f"'{x}'" for x in records.LEGAL)
+_SIG = rf"""
+t as (select doc_id, lang as country, n_chars,
+  list_filter(string_split(trim(regexp_replace(lower(text), '[^0-9a-z]+', ' ', 'g')), ' '), lambda x: x <> '') as toks from documents),
+r as (select doc_id as entity_id, country, cast(1 + doc_id % 3 as integer) as src, toks[1:5] as words,
+  array_to_string(toks[1:5], ' ') as business_name, array_to_string(toks[6:17], ' ') || ' ' || cast(n_chars // 100 as varchar) as business_address
+  from t where len(toks) >= 1),
+w as (select *, list_filter(string_split(business_address, ' '), lambda x: x <> '') as aw,
+  list_filter(words, lambda x: x not in ({_LEGAL})) as kept from r),
+sig as (select entity_id, country, src, business_name as name_c, words, case when len(kept) > 0 then kept else words end as core,
+  coalesce(array_to_string(list_sort(list_distinct(list_filter(words, lambda x: x in ({_LEGAL})))), ' '), '') as sfx,
+  array_to_string(case when len(kept) > 0 then kept else words end, '') as squash,
+  list_filter(aw, lambda x: regexp_full_match(x, '[a-z]+') and len(x) > 1) as addr,
+  list_transform(regexp_extract_all(array_to_string(aw, ' '), '[0-9]+'), lambda x: case when ltrim(x, '0') = '' then '0' else ltrim(x, '0') end) as n0,
+  cast(trim(business_address) = '' as integer) as addr_empty from w),
+s as (select *, list_filter(n0, lambda x, i: list_position(n0, x) = i) as nums from sig)"""
+_IDF = f"""{_SIG},
+voc as (select token, count(*) as df from (select unnest(list_distinct(addr)) as token from s) group by token),
+idf as (select token, df, ln((select count(*) from s) / (1.0::double + df)) as idf from voc)"""
+_RARE = f"""{_IDF},
+by_df as (select entity_id, token, row_number() over (partition by entity_id order by df, token) as k
+  from (select entity_id, unnest(list_distinct(addr)) as token from s) join voc using (token)),
+rare as (select entity_id, list(token order by k) as rare from by_df where k <= 2 group by entity_id)"""
+_EMIT = f"""{_RARE},
+q as (select s.*, coalesce(rare, []) as rare from s left join rare using (entity_id)),
+emit as (
+  select entity_id, country, src, 1 as bit, n || '|' || left(x, 3) as key from (select entity_id, country, src, n, unnest(rare) as x from (select *, unnest(nums[1:3]) as n from q))
+  union all select entity_id, country, src, 2, array_to_string(list_sort(rare), '|') from q where len(rare) = 2
+  union all select entity_id, country, src, 4, left(squash, 8) from q where len(squash) >= 4
+  union all select entity_id, country, src, 32, x || '#' || n from (select entity_id, country, src, n, unnest(list_filter(core[1:2], lambda c: len(c) >= 3)) as x from (select *, unnest(nums[1:3]) as n from q))
+  union all select entity_id, country, src, 64, '=' || squash from q where len(squash) >= 6)"""
+
+
+def _cand(where: str) -> str:
+    return f"""one as (select distinct country, bit, key, entity_id as s1 from emit where src = 1 and {where}),
+many as (select country, bit, key, entity_id as s23, count(*) over (partition by country, bit, key) as n from emit where src <> 1 and {where}),
+pairs as (select s1, s23, bit_or(bit) as kbits from one join many using (country, bit, key) where n <= {CAP} group by s1, s23)"""
+
+
+_PAIRS = f"{_EMIT}, {_cand('bit = 64')}"
+_SCORED = f"""{_PAIRS},
+scored as (select s1, s23, ((s1 * 7919 + s23 * 104729) % 1009) / 1009.0::double as p, s23 % 5 = 0 as noaddr from pairs),
+owned as (select * from (select *, row_number() over (partition by s23 order by p desc, s1) as o from scored) where o = 1)"""
+_TRUTH = """truth as (select b.s1, d.doc_id as s23 from documents d join (select lang, text, min(doc_id) as s1 from documents where doc_id % 3 = 0 and text is not null group by lang, text) b
+  on d.lang = b.lang and d.text = b.text where d.doc_id % 3 <> 0),
+entities as (select entity_id as s1 from s where src = 1)"""
+_F05 = """case when coalesce(n_true, 0) = 0 then case when coalesce(n_pred, 0) = 0 then 1.0 else 0.0 end else 1.25 * coalesce(tp, 0) / (0.25 * n_true + coalesce(n_pred, 0)) end"""
+
+
+def _sql_stats(g: str, tie: str) -> str:
+    return f"""with {_SCORED} select s1, s23, round(p, 6) as p, row_number() over (partition by {g} order by p desc, {tie})::int as g_rank,
+  round(max(p) over (partition by {g}) - p, 6) as g_margin, round(sum(p) over (partition by {g}), 6) as g_sum, count(*) over (partition by {g}) as g_n,
+  sum((p > 0.5)::int) over (partition by {g})::bigint as g_above from scored"""
+
+
+def _sql_decide(source: str, tau: str) -> str:
+    return f"""with {_SCORED} select s1, s23, rank from (select *, row_number() over (partition by s1 order by p desc, s23)::int as rank from {source}) where p >= {tau} and rank <= 8"""
+
+
+def _sql_full(bottom: str) -> str:
+    return f"""with {_SCORED},
+placed as (select s1, s23, p, row_number() over (partition by s1 order by p desc, s23)::int as rank, sum(p) over (partition by s1 order by p desc, s23 rows unbounded preceding) as upto, sum(p) over (partition by s1) as total,
+  exp(sum(ln(1 - least(p, 1 - 1e-9))) over (partition by s1)) as none from owned),
+e as (select *, p >= 0.1 and rank <= 8 as ok, case when p >= 0.1 and rank <= 8 then 1.25 * upto / ({bottom}) else -1.0 end as e from placed),
+b as (select *, max(e) over (partition by s1) as best from e),
+k as (select *, case when none >= best then 0 else min(case when e = best then rank end) over (partition by s1) end as k from b)
+select s1, s23, rank from k where ok and rank <= k"""
+
+
+def _sql_block(bit: int) -> str:
+    return f"with {_EMIT} select country, src, key, count(*) as n, min(entity_id) as least from emit where bit = {bit} group by country, src, key"
+
+
+_SHARED = "len(list_intersect({a}, {b}))"
+_JACC = "round({i} / greatest(len(list_distinct({a})) + len(list_distinct({b})) - {i}, 1)::double, 6)"
+
+
+def _jacc(c: str) -> str:
+    return _JACC.format(i=_SHARED.format(a=f"a.{c}", b=f"b.{c}"), a=f"a.{c}", b=f"b.{c}")
+
+
+_PREFIX = "len(list_filter(range(1, least(len(a.squash), len(b.squash)) + 1), lambda i: left(a.squash, i) = left(b.squash, i)))"
+_INIT = "array_to_string(list_transform({x}.core, lambda w: left(w, 1)), '')"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "owner_id_lists": f"with {_SCORED}, lists as (select s1, string_agg(s23::varchar, ',' order by p desc, s23) as ids from owned group by s1) select entity_id as source1_entity_id, coalesce(ids, '') as matched_entity_ids from s left join lists on s1 = entity_id where src = 1",
+        "records_canon": f"with {_SIG} select entity_id, country, src, business_name, business_address from r",
+        "signatures": f"with {_SIG} select entity_id, country, src, name_c, array_to_string(core, ' ') as core, sfx, squash, coalesce(array_to_string(addr, ' '), '') as addr, array_to_string(nums, ' ') as nums, 0 as is_domain, addr_empty from s",
+        "flags_quality": r"select page_id, coalesce(regexp_matches(regexp_extract(url, '://([^/]*)', 1), '(?i)^\s*(www\.)?[\w-]+\.(com|net|org|in|co|fr|biz|info|us|io)\b'), false) as is_domain, coalesce(regexp_matches(html, '[\x{0900}-\x{0D7F}]'), false) as has_indic from pages",
+        "idf_tokens": f"with {_IDF} select token, df, round(idf, 6) as idf from idf",
+        "rare_words": f"with {_RARE} select entity_id, array_to_string(rare, ' ') as rare from rare",
+        **{f"block_k{i}": _sql_block(1 << (i - 1)) for i in (1, 2, 3, 6, 7)},
+        "block_capped": f"with {_PAIRS} select s1, s23, kbits from pairs",
+        "candidate_union": f"with {_EMIT}, {_cand('true')} select s1, s23, kbits from pairs",
+        "topk_candidates": f"with {_SCORED} select s1, s23, rank from (select *, row_number() over (partition by s1 order by p desc, s23)::int as rank from scored) where rank <= 3",
+        "feat_native": f"""with {_PAIRS} select s1, s23, {_PREFIX} as sq_prefix, {_jacc('core')} as core_jacc,
+  round({_SHARED.format(a='a.core', b='b.core')} / greatest(least(len(list_distinct(a.core)), len(list_distinct(b.core))), 1)::double, 6) as core_contain,
+  ((len(list_distinct(a.core)) >= 2 and {_INIT.format(x='a')} = b.squash) or (len(list_distinct(b.core)) >= 2 and {_INIT.format(x='b')} = a.squash))::int as acronym,
+  case when a.sfx = b.sfx then 0 when a.sfx = '' or b.sfx = '' then 1 when len(list_intersect(string_split(a.sfx, ' '), string_split(b.sfx, ' '))) > 0 then 2 else 3 end as sfx_compat,
+  {_jacc('nums')} as num_jacc, round({_SHARED.format(a='a.nums', b='b.nums')} / greatest(len(a.nums), 1)::double, 6) as num_contain,
+  coalesce(a.nums[1] = b.nums[1], false)::int as lead_eq, coalesce(list_contains(b.nums, a.nums[1]), false)::int as lead_in,
+  (len(list_filter(a.nums[1:4], lambda p: len(list_filter(b.nums[1:4], lambda z: len(p) >= 2 and len(z) >= 2 and p <> z and levenshtein(p, z) <= 1)) > 0)) > 0)::int as num_near,
+  {_jacc('addr')} as addr_jacc, round({_PREFIX} / greatest(least(len(a.squash), len(b.squash)), 1)::double, 6) as sq_prefix_frac,
+  abs(len(a.name_c) - len(b.name_c)) as name_len_diff, abs(len(a.words) - len(b.words)) as name_ntok_diff, len(a.addr) as addr_ntok_a, len(b.addr) as addr_ntok_b,
+  len(a.nums) as n_nums_a, len(b.nums) as n_nums_b, b.src as b_src, bit_count(kbits) as n_keys
+  from pairs join s a on a.entity_id = s1 join s b on b.entity_id = s23""",
+        "feat_idf_overlap": f"""with {_PAIRS}, wt as (select distinct entity_id, token, idf from (select entity_id, unnest(addr) as token from s) join idf using (token)),
+tot as (select entity_id, sum(idf) as total from wt group by entity_id),
+sh as (select s1, s23, sum(a.idf) as ss, max(a.idf) as sm from pairs join wt a on a.entity_id = s1 join wt b on b.entity_id = s23 and b.token = a.token group by s1, s23),
+ma as (select s1, s23, max(a.idf) as m from pairs join wt a on a.entity_id = s1 where not exists (select 1 from wt b where b.entity_id = s23 and b.token = a.token) group by s1, s23),
+mb as (select s1, s23, max(b.idf) as m from pairs join wt b on b.entity_id = s23 where not exists (select 1 from wt a where a.entity_id = s1 and a.token = b.token) group by s1, s23)
+select p.s1, p.s23, round(coalesce(ss, 0), 6) as idf_shared_sum, round(coalesce(sm, 0), 6) as idf_shared_max,
+  round(case when coalesce(ta.total, 0) = 0 then 1.0 else coalesce(ss, 0) / ta.total end, 6) as idf_cov_a, round(case when coalesce(tb.total, 0) = 0 then 1.0 else coalesce(ss, 0) / tb.total end, 6) as idf_cov_b,
+  round(coalesce(ma.m, 0), 6) as idf_miss_max_a, round(coalesce(mb.m, 0), 6) as idf_miss_max_b
+from pairs p left join sh using (s1, s23) left join ma using (s1, s23) left join mb using (s1, s23) left join tot ta on ta.entity_id = p.s1 left join tot tb on tb.entity_id = p.s23""",
+        "feat_name_counts": f"""with {_PAIRS}, c as (select country, squash, sum((src = 1)::int) as n1, sum((src <> 1)::int) as n23 from s group by country, squash)
+select s1, s23, round(ln(1 + ca.n1), 6) as sq_n_s1_a, round(ln(1 + cb.n1), 6) as sq_n_s1_b, round(ln(1 + cb.n23), 6) as sq_n_s23_b
+from pairs join s a on a.entity_id = s1 join s b on b.entity_id = s23 join c ca on ca.country = a.country and ca.squash = a.squash join c cb on cb.country = b.country and cb.squash = b.squash""",
+        "feat_jaro_winkler": f"""with {_PAIRS}, n as (select entity_id, coalesce(array_to_string(addr, ' '), '') as a from s)
+select s1, s23, round(jaro_winkler_similarity(x.a, y.a), 6) as addr_jw, levenshtein(x.a, y.a)::int as addr_edit from pairs join n x on x.entity_id = s1 join n y on y.entity_id = s23""",
+        "group_stats_s1": _sql_stats("s1", "s23"),
+        "group_stats_s23": _sql_stats("s23", "s1"),
+        "owner_partition": f"with {_SCORED} select s1, s23 from owned",
+        "decide_threshold": _sql_decide("scored", "0.3"),
+        "decide_partition": _sql_decide("owned", "case when noaddr then 0.6 else 0.3 end"),
+        "decide_full": _sql_full("0.25 * rank + total"),
+        "decide_full_exact": _sql_full("0.25 * total + rank"),
+        "macro_f05": f"""with {_SCORED}, {_TRUTH}, pred as (select s1, s23 from (select *, row_number() over (partition by s1 order by p desc, s23) as rank from owned) where p >= 0.3 and rank <= 8),
+a as (select s1, count(*) as n_pred from pred group by s1), b as (select s1, count(*) as tp from pred join truth using (s1, s23) group by s1), c as (select s1, count(*) as n_true from truth group by s1)
+select round(avg({_F05}), 6) as macro_f05 from entities left join a using (s1) left join b using (s1) left join c using (s1)""",
+        "tau_sweep": f"""with {_SCORED}, {_TRUTH}, taus as (select round(0.05::double + 0.025::double * i, 3) as tau from range(38) x(i)), modes as (select unnest(['partition', 'threshold']) as mode),
+ranked as (select 'partition' as mode, s1, s23, p, row_number() over (partition by s1 order by p desc, s23) as rank from owned union all select 'threshold', s1, s23, p, row_number() over (partition by s1 order by p desc, s23) from scored),
+pred as (select mode, tau, s1, s23 from ranked join taus on p >= tau where rank <= 8),
+a as (select mode, tau, s1, count(*) as n_pred from pred group by all), b as (select mode, tau, s1, count(*) as tp from pred join truth using (s1, s23) group by all), c as (select s1, count(*) as n_true from truth group by s1),
+g as (select mode, tau, s1 from modes cross join taus cross join entities)
+select mode, round(tau, 6) as tau, round(avg({_F05}), 6) as macro_f05 from g left join a using (mode, tau, s1) left join b using (mode, tau, s1) left join c using (s1) group by mode, tau""",
+        "blocking_diagnostics": f"""with {_EMIT}, {_cand('true')}, {_TRUTH}, j as (select t.s1, t.s23, coalesce(kbits, 0) as bits from truth t left join pairs p on p.s1 = t.s1 and p.s23 = t.s23)
+select round(avg((bits > 0)::int), 6) as pair_completeness, round(avg((bits & 1 > 0)::int), 6) as k1_recall, round(avg((bits & 2 > 0)::int), 6) as k2_recall, round(avg((bits & 4 > 0)::int), 6) as k3_recall,
+  round(avg((bits & 32 > 0)::int), 6) as k6_recall, round(avg((bits & 64 > 0)::int), 6) as k7_recall, round(avg((bits = 4)::int), 6) as k3_only, round(avg((bits = 64)::int), 6) as k7_only, sum((bits > 0)::int)::bigint as found,
+  (select count(*) from pairs) as n_candidates, round(1 - (select count(*) from pairs) / ((select count(*) from s where src = 1) * (select count(*) from s where src <> 1))::double, 6) as reduction_ratio from j""",
+        "legal_suffixes": f"""with {_SIG}, n as (select country, count(*) as n from s group by country), l as (select country, words[-1] as last, case when len(words) >= 2 then words[-2] end as before from s),
+one as (select distinct last as token from (select country, last, count(*) as v from l group by all) join n using (country) where v / n::double >= 0.01),
+two as (select before as token from (select country, before, last, count(*) as v from l where before is not null group by all) join n using (country) where v / n::double >= 0.01 and last in (select token from one))
+select token from (select token from one union select token from two) where not regexp_full_match(token, '[0-9]+') and len(token) <= 12""",
+        "legal_strict": f"""with {_SIG}, n as (select country, count(*) as n from s group by country), l as (select country, words[-1] as token, count(*) as v, count(distinct case when len(words) >= 2 then words[-2] end) as preds from s group by all),
+a as (select country, token, count(*) as places from (select country, unnest(list_distinct(words)) as token from s) group by all)
+select country, token from l join n using (country) join a using (country, token) where v / n::double >= 0.003 and v / places::double >= 0.5 and preds >= 2 and not regexp_full_match(token, '[0-9]+') and len(token) <= 12""",
+        "vector_topk_cosine": """select s1, s23, sim, rank from (select *, row_number() over (partition by s1 order by sim desc, s23)::int as rank from (
+  select a.vec_id as s1, b.vec_id as s23, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::double * z[2]::double)), 6) as sim from embeddings a join embeddings b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id)) where rank <= 10""",
+        "validator_findings": """with d as (select 'S1-' || doc_id as s1, 'S' || (doc_id % 4) || '-' || n_chars as m from documents where doc_id % 3 = 0), i as (select s1, unnest([m, 'S2-7', 'S2-7']) as s23 from d),
+req as (select 'S1-' || doc_id as s1 from documents where doc_id % 6 = 0 or doc_id % 7 = 1),
+f as (select 'duplicate_match' as rule, 'error' as severity, (select count(*) from (select 1 from i group by s1, s23 having count(*) > 1)) as n
+  union all select 'self_match', 'error', (select count(*) from i where s1 = s23)
+  union all select 'wrong_prefix', 'error', (select count(*) from i where not regexp_full_match(s23, 'S[23]-[0-9]+'))
+  union all select 'missing_s1', 'error', (select count(*) from req where s1 not in (select s1 from d))
+  union all select 'extra_s1', 'error', (select count(*) from d where s1 not in (select s1 from req)))
+select * from f where n > 0""",
+        "roles_folds": f"""with {_SIG}, e as (select entity_id as s1, ((entity_id * 2654435761 + 42) % 1000003) / 1000003.0::double as u, ((entity_id * 2654435761 + 7919) % 1000003) / 1000003.0::double as v from s where src = 1)
+select s1, case when u < 0.05 then 'CAL' when u < 0.1 then 'TUNE' else 'TRAIN' end as role, (v < 0.5)::int as fold from e""",
+        "pair_set_diff": f"with {_SCORED} select s1, s23, 'removed' as change from pairs where (s1, s23) not in (select (s1, s23) from owned)",
+        "symmetric_diff_tokens": f"""with {_PAIRS}, x as (select array_to_string(list_sort(list_concat(list_filter(list_distinct(a.addr), lambda w: not list_contains(b.addr, w)), list_filter(list_distinct(b.addr), lambda w: not list_contains(a.addr, w)))), ' ') as tokens
+  from pairs join s a on a.entity_id = s1 join s b on b.entity_id = s23) select tokens, count(*) as n from x where tokens <> '' group by tokens order by n desc, tokens limit 15""",
+    }
