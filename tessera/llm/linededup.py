@@ -4,7 +4,12 @@ Lines of LEAST characters or more take part; shorter ones stay. A line goes if t
 occurs earlier (by document id, then by position). To find the latter, a line of length l is cut into tau + 1 segments;
 by the pigeonhole principle a line within tau edits holds one of them unchanged, near the same place. So each line indexes
 its segments under (length, number, text), and probes for lines of its own length and of up to tau less with the substrings
-at the places that multi-match-aware selection leaves. What meets is verified by a banded bit-parallel edit distance.
+at the places that multi-match-aware selection leaves. What meets is verified by a banded bit-parallel edit distance, after
+what both lines begin and end with is taken off, which changes no distance.
+
+A segment that many different lines hold (variants of one passage) would make pairs with the square of their number. With
+tau = 1, lines that meet there agree in that whole segment and differ in the other one only, so its lines are keyed again,
+by all of the line but for one of PIECES pieces: both differ within one piece at most. No pair within tau edits is lost.
 """
 
 from __future__ import annotations
@@ -16,6 +21,8 @@ from tessera.session import materialize
 
 #: Edits that nearly equal lines are apart at most; characters of a line that takes part.
 TAU, LEAST = 1, 30
+#: Lines that index one segment at most before it counts as crowded; pieces of a line of a crowded segment.
+CROWD, PIECES = 16, 32
 
 
 def segment_at(n: Column, tau: int, i: int) -> tuple[Column, Column]:
@@ -51,6 +58,45 @@ def probe_keys(line: Column, n: Column, tau: int) -> Column:
     return F.filter(F.array(*parts), lambda x: x.isNotNull())
 
 
+def _but_one_piece(line: Column, n: Column, less: int) -> Column:
+    """Keys of a line of n characters by all but one piece, in the cut of a line of n - less characters: if a line of
+    n - less characters is one edit away, the edit lies within a piece, and the rest is equal."""
+    other = n - less
+
+    def key(i: Column) -> Column:
+        at, after = F.floor(other * i / PIECES).cast("int"), F.floor(other * (i + 1) / PIECES).cast("int") + less
+        return F.xxhash64(other, i, F.substring(line, F.lit(1), at), F.substring(line, after + 1, n - after))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), key)
+
+
+def without_common_ends(a: Column, b: Column, tau: int) -> tuple[Column, Column]:
+    """Both lines without what they begin and end with alike, but for tau + 1 characters of it at each end: the edit distance
+    stays the same. Lengths are found by halving steps, so 131,071 characters are taken off each end at most."""
+    steps = F.array(*[F.lit(1 << k) for k in range(16, -1, -1)])
+    n, m = F.length(a), F.length(b)
+    both = F.struct(a.alias("a"), b.alias("b"), n.alias("n"), m.alias("m"), F.least(n, m).alias("least"))
+
+    def front(x: Column, p: Column, step: Column) -> Column:
+        return F.when((p + step <= x["least"]) & (F.substring(x["a"], F.lit(1), p + step) == F.substring(x["b"], F.lit(1), p + step)), p + step).otherwise(p)
+
+    def back(x: Column, s: Column, step: Column) -> Column:
+        to = s + step
+        return F.when((to <= x["least"] - x["front"]) & (F.substring(x["a"], x["n"] - to + 1, to) == F.substring(x["b"], x["m"] - to + 1, to)), to).otherwise(s)
+
+    def ends(x: Column) -> Column:
+        return F.struct(x["a"].alias("a"), x["b"].alias("b"), x["n"].alias("n"), x["m"].alias("m"), x["least"].alias("least"), F.aggregate(steps, F.lit(0), lambda p, step: front(x, p, step)).alias("front"))
+
+    def rest(x: Column) -> Column:
+        keep = lambda p: F.greatest(p - tau - 1, F.lit(0))
+        end = keep(F.aggregate(steps, F.lit(0), lambda s, step: back(x, s, step)))
+        at = keep(x["front"])
+        return F.struct(F.substring(x["a"], at + 1, x["n"] - at - end).alias("a"), F.substring(x["b"], at + 1, x["m"] - at - end).alias("b"))
+
+    out = F.element_at(F.transform(F.transform(F.array(both), ends), rest), 1)
+    return out["a"], out["b"]
+
+
 def banded_distance(a: Column, b: Column, tau: int) -> Column:
     """Edit distance of two lines whose lengths differ by tau at most and are above tau, exact where it is tau or less, by
     Hyyro's bit-parallel algorithm on a band of 2 tau + 1 diagonals: one step of bit operations for each character of b.
@@ -90,13 +136,24 @@ def near_pairs(lines: DataFrame, texts: DataFrame, tau: int) -> DataFrame:
     ids share a hash only if they collide, so the texts themselves are compared."""
     held = lines.select("id", F.explode("index").alias("key"))
     asked = lines.select(F.col("id").alias("other"), F.explode("probe").alias("key"))
-    pairs = held.join(asked, "key").where("id <> other").select(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other")).distinct()
+    if tau == 1:
+        crowded = materialize(held.groupBy("key").agg(F.count("*").alias("__n")).where(F.col("__n") > CROWD).select("key"), "crowded-segments")
+        within = held.join(crowded, "key", "left_semi").select("id").union(asked.join(crowded, "key", "left_semi").select("other")).distinct()
+        again = materialize(texts.join(within, "id", "left_semi").distinct(), "crowded-lines")
+        n = F.length("line")
+        same, shorter = (again.select("id", F.explode(_but_one_piece(F.col("line"), n, less)).alias("key")) for less in (0, 1))
+        met = same.join(same.unionByName(shorter).withColumnRenamed("id", "other"), "key")
+        pairs = held.join(crowded, "key", "left_anti").join(asked, "key").unionByName(met)
+    else:
+        pairs = held.join(asked, "key")
+    pairs = pairs.where("id <> other").select(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other")).distinct()
     pairs = materialize(pairs, "line-pairs")
     ids = pairs.select(F.explode(F.array("id", "other")).alias("id")).distinct()
     met = materialize(texts.join(ids, "id", "left_semi").distinct(), "line-texts")
     a, b = met.select("id", F.col("line").alias("a")), met.select(F.col("id").alias("other"), F.col("line").alias("b"))
     near = pairs.join(a, "id").join(b, "other").where(F.abs(F.length("a") - F.length("b")) <= tau)
-    near = near.where(banded_distance(F.col("a"), F.col("b"), tau) <= tau).select("id", "other").distinct()
+    a, b = without_common_ends(F.col("a"), F.col("b"), tau)
+    near = near.where(banded_distance(a, b, tau) <= tau).select("id", "other").distinct()
     return near.unionByName(near.select(F.col("other").alias("id"), F.col("id").alias("other")))
 
 

@@ -37,6 +37,33 @@ def test_banded_distance_is_exact_within_tau(spark, tau):
         assert (r.d == true) if true <= tau else (r.d > tau), (r.a, r.b, r.d, true)
 
 
+@pytest.mark.parametrize("tau", [1, 2])
+def test_common_ends_leave_the_distance(spark, tau):
+    rng = random.Random(3)
+    pairs = []
+    for _ in range(120):
+        a = "".join(rng.choice("abé𝄞") for _ in range(rng.randint(6, 14)))
+        pairs.append((a, edited(rng, a, rng.randint(0, 3))))
+    pairs = [(a, b) for a, b in pairs if min(len(a), len(b)) > tau] + [("x" * 300 + "ab" + "y" * 200, "x" * 300 + "b" + "y" * 200)]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    x, y = linededup.without_common_ends(F.col("a"), F.col("b"), tau)
+    for r in df.withColumn("x", x).withColumn("y", y).collect():
+        assert distance(r.x, r.y) == distance(r.a, r.b) and min(len(r.x), len(r.y)) > tau
+    assert len(r.x) < 12
+
+
+def test_crowded_segments_lose_no_pair(spark, monkeypatch):
+    rng = random.Random(5)
+    head, tail = ("".join(rng.choice("abcdé") for _ in range(20)) for _ in range(2))
+    docs = [(k, (head + edited(rng, tail, rng.choice((0, 1, 2)))) if k % 2 else edited(rng, head, rng.choice((0, 1, 2))) + tail) for k in range(90)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = brute(docs, 1, 30)
+    for crowd in (0, 4, 1000):
+        monkeypatch.setattr(linededup, "CROWD", crowd)
+        out = {r.doc_id: r.dropped for r in linededup.dedup(df).collect()}
+        assert {k: v for k, v in out.items() if v} == want, crowd
+
+
 def brute(docs, tau, least):
     lines = sorted((k, i, x) for k, t in docs if t is not None for i, x in enumerate(t.split("\n")) if len(x) >= least)
     drop, firsts = {}, {}
