@@ -70,8 +70,8 @@ def _but_one_piece(line: Column, n: Column, less: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), key)
 
 
-def without_common_ends(a: Column, b: Column, tau: int) -> tuple[Column, Column]:
-    """Both lines without what they begin and end with alike, but for tau + 1 characters of it at each end: the edit distance
+def without_common_ends(a: Column, b: Column, tau: int) -> Column:
+    """One array of one struct (a, b): both lines without what they begin and end with alike, but for tau + 1 characters of it at each end: the edit distance
     stays the same. Lengths are found by halving steps, so 131,071 characters are taken off each end at most."""
     steps = F.array(*[F.lit(1 << k) for k in range(16, -1, -1)])
     n, m = F.length(a), F.length(b)
@@ -93,8 +93,18 @@ def without_common_ends(a: Column, b: Column, tau: int) -> tuple[Column, Column]
         at = keep(x["front"])
         return F.struct(F.substring(x["a"], at + 1, x["n"] - at - end).alias("a"), F.substring(x["b"], at + 1, x["m"] - at - end).alias("b"))
 
-    out = F.element_at(F.transform(F.transform(F.array(both), ends), rest), 1)
-    return out["a"], out["b"]
+    return F.transform(F.transform(F.array(both), ends), rest)
+
+
+def within(a: Column, b: Column, tau: int) -> Column:
+    """Whether two lines are tau edits apart at most. One expression, so that what is left of them is found once. With tau = 1
+    lines without common ends are one edit apart only if neither has more than one character, so longer rests are turned down."""
+
+    def near(x: Column) -> Column:
+        known = banded_distance(x["a"], x["b"], tau) <= tau
+        return known if tau > 1 else F.when(F.greatest(F.length(x["a"]), F.length(x["b"])) <= 1 + 2 * (tau + 1), known).otherwise(False)
+
+    return F.element_at(F.transform(without_common_ends(a, b, tau), near), 1)
 
 
 def banded_distance(a: Column, b: Column, tau: int) -> Column:
@@ -138,8 +148,9 @@ def near_pairs(lines: DataFrame, texts: DataFrame, tau: int) -> DataFrame:
     asked = lines.select(F.col("id").alias("other"), F.explode("probe").alias("key"))
     if tau == 1:
         crowded = materialize(held.groupBy("key").agg(F.count("*").alias("__n")).where(F.col("__n") > CROWD).select("key"), "crowded-segments")
-        within = held.join(crowded, "key", "left_semi").select("id").union(asked.join(crowded, "key", "left_semi").select("other")).distinct()
-        again = materialize(texts.join(within, "id", "left_semi").distinct(), "crowded-lines")
+        within_ids = held.join(crowded, "key", "left_semi").select("id").union(asked.join(crowded, "key", "left_semi").select("other")).distinct()
+        within_ids = materialize(within_ids, "crowded-ids")  # written, so that Spark knows the size before it would move texts
+        again = materialize(texts.join(within_ids, "id", "left_semi").distinct(), "crowded-lines")
         n = F.length("line")
         same, shorter = (again.select("id", F.explode(_but_one_piece(F.col("line"), n, less)).alias("key")) for less in (0, 1))
         met = same.join(same.unionByName(shorter).withColumnRenamed("id", "other"), "key")
@@ -148,12 +159,11 @@ def near_pairs(lines: DataFrame, texts: DataFrame, tau: int) -> DataFrame:
         pairs = held.join(asked, "key")
     pairs = pairs.where("id <> other").select(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other")).distinct()
     pairs = materialize(pairs, "line-pairs")
-    ids = pairs.select(F.explode(F.array("id", "other")).alias("id")).distinct()
+    ids = materialize(pairs.select(F.explode(F.array("id", "other")).alias("id")).distinct(), "pair-ids")
     met = materialize(texts.join(ids, "id", "left_semi").distinct(), "line-texts")
     a, b = met.select("id", F.col("line").alias("a")), met.select(F.col("id").alias("other"), F.col("line").alias("b"))
     near = pairs.join(a, "id").join(b, "other").where(F.abs(F.length("a") - F.length("b")) <= tau)
-    a, b = without_common_ends(F.col("a"), F.col("b"), tau)
-    near = near.where(banded_distance(a, b, tau) <= tau).select("id", "other").distinct()
+    near = near.where(within(F.col("a"), F.col("b"), tau)).select("id", "other").distinct()
     return near.unionByName(near.select(F.col("other").alias("id"), F.col("id").alias("other")))
 
 
@@ -165,10 +175,11 @@ def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", tau:
     """(__key, __gone, dropped: positions from 0, ascending) of the documents that lose a line."""
     cut = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
     lines = with_uid(docs, key, text).select(F.col(key).cast("long").alias("key"), F.col("__uid").alias("uid"), F.posexplode(cut).alias("pos", "line")).where(F.length("line") >= least)
-    n = F.length("line")
     lines = lines.withColumn("id", F.xxhash64("line")).withColumn("id2", F.xxhash64(F.lit(1), "line"))
     place = F.struct("key", "uid", "pos")
-    own = lines.groupBy("id", "id2").agg(F.count("*").alias("times"), F.min(place).alias("first"), F.first(index_keys(F.col("line"), n, tau)).alias("index"), F.first(probe_keys(F.col("line"), n, tau)).alias("probe"))
+    keyed = lines.withColumn("n", F.length("line"))  # a column of its own: found once a line
+    keyed = keyed.withColumn("index", index_keys(F.col("line"), F.col("n"), tau)).withColumn("probe", probe_keys(F.col("line"), F.col("n"), tau))
+    own = keyed.groupBy("id", "id2").agg(F.count("*").alias("times"), F.min(place).alias("first"), F.first("index").alias("index"), F.first("probe").alias("probe"))
     own = materialize(own, "lines")
     near = materialize(near_pairs(own, lines.select("id", "line"), tau), "line-links")
     firsts = own.groupBy("id").agg(F.min("first").alias("first"))  # one row an id but for collisions

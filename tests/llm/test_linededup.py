@@ -46,8 +46,9 @@ def test_common_ends_leave_the_distance(spark, tau):
         pairs.append((a, edited(rng, a, rng.randint(0, 3))))
     pairs = [(a, b) for a, b in pairs if min(len(a), len(b)) > tau] + [("x" * 300 + "ab" + "y" * 200, "x" * 300 + "b" + "y" * 200)]
     df = spark.createDataFrame(pairs, "a string, b string")
-    x, y = linededup.without_common_ends(F.col("a"), F.col("b"), tau)
-    for r in df.withColumn("x", x).withColumn("y", y).collect():
+    rest = linededup.without_common_ends(F.col("a"), F.col("b"), tau)[0]
+    for r in df.withColumn("x", rest["a"]).withColumn("y", rest["b"]).withColumn("near", linededup.within(F.col("a"), F.col("b"), tau)).collect():
+        assert r.near == (distance(r.a, r.b) <= tau)
         assert distance(r.x, r.y) == distance(r.a, r.b) and min(len(r.x), len(r.y)) > tau
     assert len(r.x) < 12
 
