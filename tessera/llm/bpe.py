@@ -11,8 +11,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterator
-from itertools import chain
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 #: Pre-tokens, and space-delimited chunks, whose ids a worker keeps; beyond it the older half goes.
 CACHE_ENTRIES = 300_000
+#: Rows of an output batch.
+SLICE = 500
 #: Longer pre-tokens are encoded each time: they hardly repeat.
 CACHE_LONGEST = 64
 
@@ -45,6 +47,11 @@ class _Memo(dict):
         return value
 
 
+def _packed(ids: Iterable[int]) -> bytes:
+    """Four bytes an id: remembered ids take a fraction of what tuples of integers would."""
+    return array("i", ids).tobytes()
+
+
 class BpeCodec:
     """Encodes as the ranks and the pre-token pattern say, without special tokens; decodes ids to bytes."""
 
@@ -64,7 +71,7 @@ class BpeCodec:
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.text_of = {rank: str(rank) for rank in ranks.values()}
         self.words = [0] * ((max(ranks.values()) >> 8) + 1)
-        self.piece_ids = _Memo(self._encode_piece)
+        self.piece_ids = _Memo(lambda piece: _packed(self._encode_piece(piece)))
         self.chunk_ids = _Memo(self._encode_chunk)
 
     @classmethod
@@ -137,8 +144,11 @@ class BpeCodec:
                     break
         return tuple([x for x in ids if x != none])
 
-    def _encode_chunk(self, chunk: str) -> tuple[int, ...]:
-        return tuple(chain.from_iterable(map(self.piece_ids.__getitem__, self.find(" " + chunk))))
+    def _encode_chunk(self, chunk: str) -> bytes:
+        pieces = self.find(" " + chunk)
+        if len(pieces) == 1:  # remembered as a chunk, so not as a piece too
+            return _packed(self._encode_piece(pieces[0]))
+        return b"".join(map(self.piece_ids.__getitem__, pieces))
 
     #: A space between two white spaces, or a last one, does not begin a pre-token.
     _joined = re.compile(r"\s \s|\s \Z").search
@@ -146,13 +156,16 @@ class BpeCodec:
     def encode(self, text: str) -> list[int]:
         """A space after and before anything else than white space begins a pre-token, whatever stands around it; so the
         text is cut there, and the ids of whole chunks are remembered. Other texts go through the pattern in one piece."""
-        if not text:
-            return []
-        if text[-1] == " " or text[:2] == "  " or self._joined(text):
-            return list(chain.from_iterable(map(self.piece_ids.__getitem__, self.find(text))))
+        return self.encode_array(text).tolist()
+
+    def encode_array(self, text: str) -> np.ndarray:
+        """As ``encode``, in 32-bit integers."""
+        if text[-1:] == " " or text[:2] == "  " or self._joined(text):
+            found = map(self.piece_ids.__getitem__, self.find(text))
+            return np.frombuffer(b"".join(found), dtype=np.int32)
         first, *rest = text.split(" ")
-        head = chain.from_iterable(map(self.piece_ids.__getitem__, self.find(first)))
-        return list(chain(head, chain.from_iterable(map(self.chunk_ids.__getitem__, rest))))
+        head = b"".join(map(self.piece_ids.__getitem__, self.find(first)))
+        return np.frombuffer(head + b"".join(map(self.chunk_ids.__getitem__, rest)), dtype=np.int32)
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -181,15 +194,18 @@ def encode_column(docs: DataFrame, path: str, pattern: str, text: str = "text",
         bpe = codec(path, pattern)
         names = bpe.text_of.__getitem__
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in made}
-            for t in batch.pop("__text"):
-                ids = bpe.encode(t)
-                out["n_tokens"].append(len(ids))
-                out["ids_sha256"].append(hashlib.sha256(" ".join(map(names, ids)).encode()).hexdigest())
-                out["decoded_sha256"].append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-                if with_ids:
-                    out["ids"].append(np.array(ids, dtype=np.int32))
-            yield batch.assign(**out)
+            for start in range(0, len(batch), SLICE):  # ids of whole batches would take much memory
+                part = batch.iloc[start : start + SLICE]
+                out: dict[str, list] = {c: [] for c in made}
+                for t in part["__text"]:
+                    packed = bpe.encode_array(t)
+                    ids = packed.tolist()
+                    out["n_tokens"].append(len(ids))
+                    out["ids_sha256"].append(hashlib.sha256(" ".join(map(names, ids)).encode()).hexdigest())
+                    out["decoded_sha256"].append(hashlib.sha256(bpe.decode(ids)).hexdigest())
+                    if with_ids:
+                        out["ids"].append(packed)
+                yield part.drop(columns="__text").assign(**out)
 
     return rows.mapInPandas(run, schema)
 
