@@ -72,11 +72,14 @@ def _but_one_piece(line: Column, n: Column, less: int) -> Column:
 
 def without_common_ends(a: Column, b: Column, tau: int) -> Column:
     """One array of one struct (a, b): both lines without what they begin and end with alike, but for tau + 1 characters of it at each end: the edit distance
-    stays the same. Lengths are found by halving steps, so 131,071 characters are taken off each end at most."""
-    steps = F.array(*[F.lit(1 << k) for k in range(16, -1, -1)])
+    stays the same. Lengths are found by halving steps, the first one the largest power of two within the shorter line."""
     n, m = F.length(a), F.length(b)
     both = F.struct(a.alias("a"), b.alias("b"), n.alias("n"), m.alias("m"), F.least(n, m).alias("least"))
 
+    def steps(x: Column) -> Column:
+        top = F.floor(F.log2(F.greatest(x["least"], F.lit(1)).cast("double"))).cast("int")
+        return F.transform(F.sequence(top, F.lit(0), F.lit(-1)), lambda k: F.call_function("shiftleft", F.lit(1), k))
+
     def front(x: Column, p: Column, step: Column) -> Column:
         return F.when((p + step <= x["least"]) & (F.substring(x["a"], F.lit(1), p + step) == F.substring(x["b"], F.lit(1), p + step)), p + step).otherwise(p)
 
@@ -85,11 +88,11 @@ def without_common_ends(a: Column, b: Column, tau: int) -> Column:
         return F.when((to <= x["least"] - x["front"]) & (F.substring(x["a"], x["n"] - to + 1, to) == F.substring(x["b"], x["m"] - to + 1, to)), to).otherwise(s)
 
     def ends(x: Column) -> Column:
-        return F.struct(x["a"].alias("a"), x["b"].alias("b"), x["n"].alias("n"), x["m"].alias("m"), x["least"].alias("least"), F.aggregate(steps, F.lit(0), lambda p, step: front(x, p, step)).alias("front"))
+        return F.struct(x["a"].alias("a"), x["b"].alias("b"), x["n"].alias("n"), x["m"].alias("m"), x["least"].alias("least"), F.aggregate(steps(x), F.lit(0), lambda p, step: front(x, p, step)).alias("front"))
 
     def rest(x: Column) -> Column:
         keep = lambda p: F.greatest(p - tau - 1, F.lit(0))
-        end = keep(F.aggregate(steps, F.lit(0), lambda s, step: back(x, s, step)))
+        end = keep(F.aggregate(steps(x), F.lit(0), lambda s, step: back(x, s, step)))
         at = keep(x["front"])
         return F.struct(F.substring(x["a"], at + 1, x["n"] - at - end).alias("a"), F.substring(x["b"], at + 1, x["m"] - at - end).alias("b"))
 

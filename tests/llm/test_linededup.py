@@ -97,3 +97,12 @@ def test_dedup_against_brute_force(spark, tau):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert linededup.dedup(df).collect() == []
+
+
+def test_edit_far_from_both_ends_of_a_long_line(spark):
+    long = "".join(random.Random(9).choice("abcdé ") for _ in range(300_000))
+    cases = [(long[:150_000], 4), (long, 150_000), (long[:262_144], 131_072)]
+    docs = [(2 * k + j, x[:at] + "#" + x[at + 1 :] if j else x) for k, (x, at) in enumerate(cases) for j in (0, 1)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    out = {r.doc_id: r.dropped for r in linededup.dedup(df).collect()}
+    assert out == {k: [0] * (k % 2) for k, _ in docs}
