@@ -1,7 +1,7 @@
 """Removal of repeated and nearly repeated lines, in DataFrame operations only (a segment-partition edit join, PassJoin).
 
-Lines of LEAST characters or more take part; shorter ones stay. A line goes if the same line, or one within ``tau`` edits,
-occurs earlier (by document id, then by position). To find the latter, a line of length l is cut into tau + 1 segments;
+Every line that isn't empty takes part. It goes if the same line occurs earlier (by document id, then by position) or, from
+NEAR_LEAST characters on, one within ``tau`` edits. To find the latter, a line of length l is cut into tau + 1 segments;
 by the pigeonhole principle a line within tau edits holds one of them unchanged, near the same place. So each line indexes
 its segments under (length, number, text), and probes for lines of its own length and of up to tau less with the substrings
 at the places that multi-match-aware selection leaves. What meets is verified by a banded bit-parallel edit distance, after
@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from tessera.session import materialize
 
-#: Edits that nearly equal lines are apart at most; characters of a line that takes part.
-TAU, LEAST = 1, 30
+#: Edits that nearly equal lines are apart at most; characters of a line that takes part, and of one that is compared for near
+#: equality: in shorter ones an edit is most of a word or number, and "12" is no copy of "13".
+TAU, LEAST, NEAR_LEAST = 1, 1, 8
 #: Lines that index one segment at most before it counts as crowded; pieces of a line of a crowded segment.
 CROWD, PIECES = 16, 32
 
@@ -181,7 +182,8 @@ def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", tau:
     lines = lines.withColumn("id", F.xxhash64("line")).withColumn("id2", F.xxhash64(F.lit(1), "line"))
     place = F.struct("key", "uid", "pos")
     keyed = lines.withColumn("n", F.length("line"))  # a column of its own: found once a line
-    keyed = keyed.withColumn("index", index_keys(F.col("line"), F.col("n"), tau)).withColumn("probe", probe_keys(F.col("line"), F.col("n"), tau))
+    compared = lambda keys: F.when(F.col("n") >= max(NEAR_LEAST, tau + 1), keys).otherwise(F.array().cast("array<bigint>"))
+    keyed = keyed.withColumn("index", compared(index_keys(F.col("line"), F.col("n"), tau))).withColumn("probe", compared(probe_keys(F.col("line"), F.col("n"), tau)))
     own = keyed.groupBy("id", "id2").agg(F.count("*").alias("times"), F.min(place).alias("first"), F.first("index").alias("index"), F.first("probe").alias("probe"))
     own = materialize(own, "lines")
     near = materialize(near_pairs(own, lines.select("id", "line"), tau), "line-links")

@@ -106,3 +106,10 @@ def test_edit_far_from_both_ends_of_a_long_line(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     out = {r.doc_id: r.dropped for r in linededup.dedup(df).collect()}
     assert out == {k: [0] * (k % 2) for k, _ in docs}
+
+
+def test_short_lines_go_as_exact_repeats(spark):
+    short = ["Licensed under CC BY-NC 4.0.", "All rights reserved.", "12", "}"]
+    docs = [(0, "\n".join(short) + "\n\n"), (1, "\n".join(["13", *short, "", "All rights reserved!"])), (2, "own words\n}\n")]
+    out = {r.doc_id: (r.dropped, r.text) for r in linededup.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert out == {0: ([], docs[0][1]), 1: ([1, 2, 3, 4, 6], "13\n"), 2: ([1], "own words\n")}
