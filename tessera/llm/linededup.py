@@ -1,29 +1,49 @@
 """Removal of repeated and nearly repeated lines, in DataFrame operations only (a segment-partition edit join, PassJoin).
 
 Every line that isn't empty takes part. It goes if the same line occurs earlier (by document id, then by position) or, from
-NEAR_LEAST characters on, one within ``tau`` edits. To find the latter, a line of length l is cut into tau + 1 segments;
-by the pigeonhole principle a line within tau edits holds one of them unchanged, near the same place. So each line indexes
-its segments under (length, number, text), and probes for lines of its own length and of up to tau less with the substrings
-at the places that multi-match-aware selection leaves. What meets is verified by a banded bit-parallel edit distance, after
+NEAR_LEAST characters on, one within tau edits, where tau grows with the length of the shorter of the two: 1 under LONGER
+characters, 1 more for each further factor of BAND. To find the latter, a line of length l is cut into tau + 1 segments; by
+the pigeonhole principle a line within tau edits holds one of them unchanged, near the same place. So each line indexes its
+segments under (length, number, text), and probes for lines of its own length and of up to tau less with the substrings at
+the places that multi-match-aware selection leaves. What meets is verified by a banded bit-parallel edit distance, after
 what both lines begin and end with is taken off, which changes no distance.
 
-A segment that many different lines hold (variants of one passage) would make pairs with the square of their number. With
-tau = 1, lines that meet there agree in that whole segment and differ in the other one only, so its lines are keyed again,
-by all of the line but for one of PIECES pieces: both differ within one piece at most. No pair within tau edits is lost.
+A segment that many different lines hold (variants of one passage) would make pairs with the square of their number. So its
+lines are keyed again, by more of the line: of PIECES pieces, tau edits leave all but tau unchanged, so both lines share the
+key of the pieces that are left, for one choice of tau to leave out, with the shifts that the edits between them make. No
+pair within tau edits is lost.
 """
 
 from __future__ import annotations
 
+import json
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.session import materialize
 
-#: Edits that nearly equal lines are apart at most; characters of a line that takes part, and of one that is compared for near
+#: Edits that nearly equal lines are apart at most, where they are given for all lengths (None: by length); the length from
+#: which two are allowed, and the factor of length that allows one more.
+TAU, LONGER, BAND = None, 100, 4
+#: Characters of a line that takes part, and of one that is compared for near
 #: equality: in shorter ones an edit is most of a word or number, and "12" is no copy of "13".
-TAU, LEAST, NEAR_LEAST = 1, 1, 8
-#: Lines that index one segment at most before it counts as crowded; pieces of a line of a crowded segment.
-CROWD, PIECES = 16, 32
+LEAST, NEAR_LEAST = 1, 8
+#: Lines that index one segment at most before it counts as crowded; pieces of a line of a crowded segment by tau, as the
+#: choices of tau pieces and their shifts multiply; tau + 2 where not given.
+CROWD, PIECES = 16, {1: 32, 2: 8, 3: 6}
+
+
+def bands(longest: int, tau: int | None) -> list[tuple[int, int, int]]:
+    """(tau, least, most) of the bands of length, up to the longest line."""
+    if tau is not None:
+        return [(tau, max(NEAR_LEAST, tau + 1), longest)]
+    out, least, most = [], NEAR_LEAST, LONGER - 1
+    while least <= longest:
+        out.append((len(out) + 1, least, most))
+        least, most = most + 1, (most + 1) * BAND - 1
+    return out
 
 
 def segment_at(n: Column, tau: int, i: int) -> tuple[Column, Column]:
@@ -38,6 +58,11 @@ def _key(n: Column, i: int, part: Column) -> Column:
     return F.xxhash64(n, F.lit(i), part)
 
 
+def _table(rows: list[dict], schema: str) -> Column:
+    """A constant array of structs; from JSON, as long ones are slow to put together from literals."""
+    return F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")
+
+
 def index_keys(line: Column, n: Column, tau: int) -> Column:
     parts = []
     for i in range(tau + 1):
@@ -46,8 +71,9 @@ def index_keys(line: Column, n: Column, tau: int) -> Column:
     return F.array(*parts)
 
 
-def probe_keys(line: Column, n: Column, tau: int) -> Column:
-    """Keys of the substrings that a line of n characters has to look for, in lines of n - tau to n characters."""
+def probe_keys(line: Column, n: Column, tau: int, least: int, most: int) -> Column:
+    """Keys of the substrings that a line of n characters has to look for, in lines of n - tau to n characters that are in
+    the band of least to most characters."""
     parts = []
     for less in range(tau + 1):
         other = n - less
@@ -55,20 +81,53 @@ def probe_keys(line: Column, n: Column, tau: int) -> Column:
             at, size = segment_at(other, tau, i)
             for shift in range(max(-i, less - (tau - i)), min(i, less + (tau - i)) + 1):
                 start = at + shift
-                parts.append(F.when((start >= 0) & (start + size <= n), _key(other, i, F.substring(line, start + 1, size))))
+                parts.append(F.when(other.between(least, most) & (start >= 0) & (start + size <= n), _key(other, i, F.substring(line, start + 1, size))))
     return F.filter(F.array(*parts), lambda x: x.isNotNull())
 
 
-def _but_one_piece(line: Column, n: Column, less: int) -> Column:
-    """Keys of a line of n characters by all but one piece, in the cut of a line of n - less characters: if a line of
-    n - less characters is one edit away, the edit lies within a piece, and the rest is equal."""
-    other = n - less
+def by_band(n: Column, cut: list[tuple[int, int, int]], keys, beyond: bool) -> Column:
+    """``keys`` of (tau, least, most) for the band of a line of n characters; with ``beyond`` of each band that holds lines
+    of up to tau characters less."""
+    none = F.array().cast("array<bigint>")
+    return F.concat(none, *[F.when(n.between(least, most + (tau if beyond else 0)), keys(tau, least, most)).otherwise(none) for tau, least, most in cut])
+
+
+def _choices(tau: int, pieces: int) -> list[dict]:
+    """Each way to leave out tau of the pieces of a line and to find the runs of those left in a line of ``less`` characters
+    more: runs from piece ``f`` to before ``t``, moved by ``s`` characters. Moves change over what is left out only, by tau
+    in all at most, from none before the first piece to ``less`` after the last."""
+    out = []
+    for number, gone in enumerate(combinations(range(pieces), tau)):
+        edges = [-1, *gone, pieces]
+        runs = [(f + 1, t) for f, t in zip(edges, edges[1:], strict=False) if f + 1 < t]
+
+        def place(k: int, last: int, left: int, done: list[dict], number=number, runs=runs) -> None:
+            if k == len(runs):
+                ends = [last] if runs[-1][1] == pieces else range(last - left, last + left + 1)
+                out.extend({"o": number, "less": less, "runs": done} for less in ends if 0 <= less <= tau)
+                return
+            for s in [0] if runs[k][0] == 0 else range(last - left, last + left + 1):
+                place(k + 1, s, left - abs(s - last), [*done, {"f": runs[k][0], "t": runs[k][1], "s": s}])
+
+        place(0, 0, tau, [])
+    return out
+
+
+def _but_some_pieces(line: Column, n: Column, tau: int, least: int, most: int, own: bool) -> Column:
+    """Keys of a line of n characters by all but tau pieces: with ``own`` in its own cut, else in the cuts of lines of up to
+    tau characters less: if one is within tau edits, the edits lie within tau pieces, and the rest is equal."""
+    pieces = PIECES.get(tau, tau + 2)
+    found = [c for c in _choices(tau, pieces) if not own or (c["less"] == 0 and all(r["s"] == 0 for r in c["runs"]))]
+    table = _table(found, "o: int, less: int, runs: array<struct<f: int, t: int, s: int>>")
 
-    def key(i: Column) -> Column:
-        at, after = F.floor(other * i / PIECES).cast("int"), F.floor(other * (i + 1) / PIECES).cast("int") + less
-        return F.xxhash64(other, i, F.substring(line, F.lit(1), at), F.substring(line, after + 1, n - after))
+    def key(c: Column) -> Column:
+        other = n - c["less"]
+        at = lambda piece: F.floor(other.cast("long") * piece / pieces).cast("int")
+        fits = F.forall(c["runs"], lambda r: (at(r["f"]) + r["s"] >= 0) & (at(r["t"]) + r["s"] <= n))
+        texts = F.transform(c["runs"], lambda r: F.substring(line, at(r["f"]) + r["s"] + 1, at(r["t"]) - at(r["f"])))
+        return F.when(other.between(least, most) & fits, F.xxhash64(other, F.lit(tau), c["o"], texts))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), key)
+    return F.array_distinct(F.filter(F.transform(table, key), lambda x: x.isNotNull()))
 
 
 def without_common_ends(a: Column, b: Column, tau: int) -> Column:
@@ -140,34 +199,34 @@ def banded_distance(a: Column, b: Column, tau: int) -> Column:
 
             return F.element_at(F.transform(F.transform(F.transform(F.array(same), lambda p: p), words), after), 1)
 
-        return F.aggregate(F.sequence(F.lit(0), x["m"] - 1), start, step, lambda s: s["d"])
+        # the last row lowers the distance by 2 tau at most, so beyond 3 tau the rest is not looked at
+        return F.aggregate(F.sequence(F.lit(0), x["m"] - 1), start, lambda s, i: F.when(s["d"] > 3 * tau, s).otherwise(step(s, i)), lambda s: s["d"])
 
     return F.element_at(F.transform(F.array(both), run), 1)
 
 
-def near_pairs(lines: DataFrame, texts: DataFrame, tau: int) -> DataFrame:
-    """(id, other) of different lines within tau edits, both ways. ``lines``: id, n, line keys; one row a line. Lines of equal
-    ids share a hash only if they collide, so the texts themselves are compared."""
+def near_pairs(lines: DataFrame, texts: DataFrame, cut: list[tuple[int, int, int]]) -> DataFrame:
+    """(id, other) of different lines within the edits of the shorter one's band, both ways. ``lines``: id, n, line keys; one
+    row a line. Lines of equal ids share a hash only if they collide, so the texts themselves are compared."""
     held = lines.select("id", F.explode("index").alias("key"))
     asked = lines.select(F.col("id").alias("other"), F.explode("probe").alias("key"))
-    if tau == 1:
-        crowded = materialize(held.groupBy("key").agg(F.count("*").alias("__n")).where(F.col("__n") > CROWD).select("key"), "crowded-segments")
-        within_ids = held.join(crowded, "key", "left_semi").select("id").union(asked.join(crowded, "key", "left_semi").select("other")).distinct()
-        within_ids = materialize(within_ids, "crowded-ids")  # written, so that Spark knows the size before it would move texts
-        again = materialize(texts.join(within_ids, "id", "left_semi").distinct(), "crowded-lines")
-        n = F.length("line")
-        same, shorter = (again.select("id", F.explode(_but_one_piece(F.col("line"), n, less)).alias("key")) for less in (0, 1))
-        met = same.join(same.unionByName(shorter).withColumnRenamed("id", "other"), "key")
-        pairs = held.join(crowded, "key", "left_anti").join(asked, "key").unionByName(met)
-    else:
-        pairs = held.join(asked, "key")
+    crowded = materialize(held.groupBy("key").agg(F.count("*").alias("__n")).where(F.col("__n") > CROWD).select("key"), "crowded-segments")
+    within_ids = held.join(crowded, "key", "left_semi").select("id").union(asked.join(crowded, "key", "left_semi").select("other")).distinct()
+    within_ids = materialize(within_ids, "crowded-ids")  # written, so that Spark knows the size before it would move texts
+    again = materialize(texts.join(within_ids, "id", "left_semi").distinct(), "crowded-lines").withColumn("n", F.length("line"))
+    more = lambda own: F.explode(by_band(F.col("n"), cut, lambda *band: _but_some_pieces(F.col("line"), F.col("n"), *band, own), not own)).alias("key")
+    met = again.select("id", more(True)).join(again.select(F.col("id").alias("other"), more(False)), "key")
+    pairs = held.join(crowded, "key", "left_anti").join(asked, "key").unionByName(met)
     pairs = pairs.where("id <> other").select(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other")).distinct()
     pairs = materialize(pairs, "line-pairs")
     ids = materialize(pairs.select(F.explode(F.array("id", "other")).alias("id")).distinct(), "pair-ids")
     met = materialize(texts.join(ids, "id", "left_semi").distinct(), "line-texts")
     a, b = met.select("id", F.col("line").alias("a")), met.select(F.col("id").alias("other"), F.col("line").alias("b"))
-    near = pairs.join(a, "id").join(b, "other").where(F.abs(F.length("a") - F.length("b")) <= tau)
-    near = near.where(within(F.col("a"), F.col("b"), tau)).select("id", "other").distinct()
+    shorter = F.least(F.length("a"), F.length("b"))
+    near = F.lit(False)
+    for tau, least, most in cut:
+        near = F.when(shorter.between(least, most), (F.abs(F.length("a") - F.length("b")) <= tau) & within(F.col("a"), F.col("b"), tau)).otherwise(near)
+    near = pairs.join(a, "id").join(b, "other").where(near).select("id", "other").distinct()
     return near.unionByName(near.select(F.col("other").alias("id"), F.col("id").alias("other")))
 
 
@@ -175,18 +234,20 @@ def with_uid(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.withColumn("__uid", F.xxhash64(F.col(key), F.col(text)))
 
 
-def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", tau: int = TAU, least: int = LEAST) -> DataFrame:
+def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", tau: int | None = TAU, least: int = LEAST) -> DataFrame:
     """(__key, __gone, dropped: positions from 0, ascending) of the documents that lose a line."""
     cut = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
     lines = with_uid(docs, key, text).select(F.col(key).cast("long").alias("key"), F.col("__uid").alias("uid"), F.posexplode(cut).alias("pos", "line")).where(F.length("line") >= least)
     lines = lines.withColumn("id", F.xxhash64("line")).withColumn("id2", F.xxhash64(F.lit(1), "line"))
     place = F.struct("key", "uid", "pos")
     keyed = lines.withColumn("n", F.length("line"))  # a column of its own: found once a line
-    compared = lambda keys: F.when(F.col("n") >= max(NEAR_LEAST, tau + 1), keys).otherwise(F.array().cast("array<bigint>"))
-    keyed = keyed.withColumn("index", compared(index_keys(F.col("line"), F.col("n"), tau))).withColumn("probe", compared(probe_keys(F.col("line"), F.col("n"), tau)))
+    cut = bands(lines.agg(F.max(F.length("line")).alias("n")).first().n or 0, tau)
+    line, n = F.col("line"), F.col("n")
+    keyed = keyed.withColumn("index", by_band(n, cut, lambda tau, *_: index_keys(line, n, tau), False))
+    keyed = keyed.withColumn("probe", by_band(n, cut, lambda *band: probe_keys(line, n, *band), True))
     own = keyed.groupBy("id", "id2").agg(F.count("*").alias("times"), F.min(place).alias("first"), F.first("index").alias("index"), F.first("probe").alias("probe"))
     own = materialize(own, "lines")
-    near = materialize(near_pairs(own, lines.select("id", "line"), tau), "line-links")
+    near = materialize(near_pairs(own, lines.select("id", "line"), cut), "line-links")
     firsts = own.groupBy("id").agg(F.min("first").alias("first"))  # one row an id but for collisions
     linked = near.join(firsts.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("first").alias("earliest"))
     told = own.join(linked, "id", "left").withColumn("late", F.coalesce(F.col("earliest") < F.col("first"), F.lit(False)))
@@ -195,7 +256,7 @@ def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", tau:
     return gone.groupBy(F.col("key").alias("__key"), F.col("uid").alias("__gone")).agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", tau: int = TAU, least: int = LEAST) -> DataFrame:
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", tau: int | None = TAU, least: int = LEAST) -> DataFrame:
     """``docs`` without the dropped lines, with ``n_lines`` and ``dropped`` (columns of these names are replaced). A null text
     stays null and has no lines; a text that loses all becomes empty. Rows that repeat a document with the same id and text
     share its decisions; copies under other ids lose what the first has."""

@@ -113,3 +113,20 @@ def test_short_lines_go_as_exact_repeats(spark):
     docs = [(0, "\n".join(short) + "\n\n"), (1, "\n".join(["13", *short, "", "All rights reserved!"])), (2, "own words\n}\n")]
     out = {r.doc_id: (r.dropped, r.text) for r in linededup.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert out == {0: ([], docs[0][1]), 1: ([1, 2, 3, 4, 6], "13\n"), 2: ([1], "own words\n")}
+
+
+def test_more_edits_in_longer_lines(spark, monkeypatch):
+    rng = random.Random(13)
+    allowed = lambda n: 0 if n < 8 else 1 if n < 100 else 2 if n < 400 else 3
+    text = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
+    lines = []
+    for base in (text(60), text(99), text(101), text(250), text(401), text(420)):
+        lines += [base, *[edited(rng, base, rng.randint(0, 4)) for _ in range(9)]]
+        at = len(base) // 2
+        lines += [base[:at] + edited(rng, base[at : at + 12], rng.randint(1, 4)) + base[at + 12 :] for _ in range(9)]
+    rng.shuffle(lines)
+    want = {k for k, x in enumerate(lines) if any(distance(x, y) <= allowed(min(len(x), len(y))) for y in lines[:k] if abs(len(x) - len(y)) < 4)}
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    for crowd in (0, 16):
+        monkeypatch.setattr(linededup, "CROWD", crowd)
+        assert {r.doc_id for r in linededup.dedup(df).collect() if r.dropped} == want, crowd
