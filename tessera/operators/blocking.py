@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.similarity import phonetic, ratio_udf, token_set_udf
+from tessera.session import materialize
 
 MAX_BLOCK, MAX_CANDIDATES = 200, 40
 K1, K2, K3, K4, K5, K6, K7 = (1 << i for i in range(7))
@@ -82,9 +83,11 @@ def top_k(df: DataFrame, group: str, score: str, tie: str, k: int = MAX_CANDIDAT
 
 
 def trigram_top_k(left: DataFrame, right: DataFrame, k: int = 30, most: int = 1000) -> DataFrame:
-    """(s1, s23, sim): cosine of tf-idf weighted character trigrams within a country, by an inverted index. Trigrams on more
-    than ``most`` records of ``right`` carry next to no weight and would make blocks of that size squared: they are left
-    out of candidate search and of the cosine alike. Inputs: entity_id, country, text."""
+    """(s1, s23, sim): the k nearest by cosine of tf-idf weighted character trigrams (those on two records of ``right`` at
+    least) within a country, exact, by an inverted index. Trigrams on more than ``most`` records make large blocks, so the
+    others are joined first. What they sum up to is a lower bound of each cosine, and what the frequent ones can add is
+    bounded by the lengths of both vectors' frequent parts: pairs that cannot reach the k-th lower bound are left, and only
+    records whose frequent part alone could reach it meet all others by it. Inputs: entity_id, country, text."""
 
     def grams(df: DataFrame) -> DataFrame:
         padded = F.concat(F.lit(" "), F.col("text"), F.lit(" "))
@@ -92,14 +95,29 @@ def trigram_top_k(left: DataFrame, right: DataFrame, k: int = 30, most: int = 10
         return df.select("entity_id", "country", F.explode(cut).alias("g")).groupBy("entity_id", "country", "g").agg((1 + F.log(F.count("*"))).alias("tf"))
 
     a, b = grams(left), grams(right)
-    df = b.groupBy("country", "g").agg(F.count("*").alias("df")).where((F.col("df") >= 2) & (F.col("df") <= most))
+    df = b.groupBy("country", "g").agg(F.count("*").alias("df")).where("df >= 2")
     n = right.groupBy("country").agg(F.count("*").alias("n"))
-    weights = df.join(n, "country").select("country", "g", (1 + F.log((1 + F.col("n")) / (1 + F.col("df")))).alias("idf"))
+    weights = df.join(n, "country").select("country", "g", (F.col("df") > most).alias("often"), (1 + F.log((1 + F.col("n")) / (1 + F.col("df")))).alias("idf"))
 
     def unit(x: DataFrame) -> DataFrame:
         w = x.join(weights, ["country", "g"]).withColumn("w", F.col("tf") * F.col("idf"))
         norm = w.groupBy("entity_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-        return w.join(norm, "entity_id").select("entity_id", "country", "g", (F.col("w") / F.col("norm")).alias("w"))
-
-    met = unit(a).withColumnsRenamed({"entity_id": "s1", "w": "wa"}).join(unit(b).withColumnsRenamed({"entity_id": "s23", "w": "wb"}), ["country", "g"])
-    return top_k(met.groupBy("s1", "s23").agg(F.sum(F.col("wa") * F.col("wb")).alias("sim")), "s1", "sim", "s23", k)
+        return w.join(norm, "entity_id").select("entity_id", "country", "g", "often", (F.col("w") / F.col("norm")).alias("w"))
+
+    one = materialize(unit(a).withColumnsRenamed({"entity_id": "s1", "w": "wa"}), "trigrams")
+    many = materialize(unit(b).withColumnsRenamed({"entity_id": "s23", "w": "wb"}), "trigrams")
+    seldom, often = F.col("often") == False, F.col("often")  # noqa: E712
+    summed = lambda met: met.groupBy("s1", "s23").agg(F.sum(F.col("wa") * F.col("wb")).alias("sim"))
+    part = materialize(summed(one.where(seldom).drop("often").join(many.where(seldom).drop("often"), ["country", "g"])), "trigram-sums")
+    reach = many.where(often).groupBy("country", "s23").agg(F.sqrt(F.sum(F.col("wb") * F.col("wb"))).alias("r")).groupBy("country").agg(F.max("r").alias("r"))
+    rest = one.groupBy("country", "s1").agg(F.sqrt(F.sum(F.when(often, F.col("wa") * F.col("wa")).otherwise(0.0))).alias("own")).join(reach, "country", "left")
+    kth = top_k(part, "s1", "sim", "s23", k).where(F.col("rank") == k).select("s1", F.col("sim").alias("kth"))
+    # no k-th: any pair may be among the k; a little is left for rounding
+    bounds = materialize(rest.join(kth, "s1", "left").select("s1", (F.col("own") * F.coalesce("r", F.lit(0.0)) + 1e-9).alias("rest"), F.coalesce("kth", F.lit(0.0)).alias("kth")), "trigram-bounds")
+    kept = materialize(part.join(bounds, "s1").where(F.col("sim") + F.col("rest") >= F.col("kth")).select("s1", "s23", "sim"), "trigram-pairs")
+    reaching = bounds.where(F.col("rest") >= F.col("kth")).select("s1")
+    frequent, theirs = one.where(often).select("s1", "country", "g", "wa"), many.where(often).select("s23", "country", "g", "wb")
+    every = summed(frequent.join(reaching, "s1", "left_semi").join(theirs, ["country", "g"]))
+    added = summed(kept.join(reaching, "s1", "left_anti").select("s1", "s23").join(frequent, "s1").join(theirs, ["s23", "country", "g"]))
+    sims = kept.unionByName(every).unionByName(added).groupBy("s1", "s23").agg(F.sum("sim").alias("sim"))
+    return top_k(sims, "s1", "sim", "s23", k)

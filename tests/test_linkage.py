@@ -1,6 +1,8 @@
 """Golden values and properties of the linkage operators."""
 
+import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -111,3 +113,27 @@ def test_roles_and_empty_inputs(spark):
     docs = spark.createDataFrame([(1, None, "en", 0), (2, "", "en", 0), (3, "One two", None, 7)], "doc_id long, text string, lang string, n_chars long")
     assert records.signatures(records.from_documents(docs)).count() == 1
     assert records.from_documents(docs.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("most", [0, 3, 12, 1000])
+def test_trigram_top_k_is_exact_with_frequent_trigrams(spark, most):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(2, 5)))
+    sides = [[(i + base, rng.choice("XY"), " ".join(["inc", *(word() for _ in range(3))])) for i in range(40)] for base in (0, 100)]
+    grams = lambda t: Counter(f" {t} "[i : i + 3] for i in range(len(t)))
+    want = {}
+    for c in "XY":
+        right = {i: grams(t) for i, x, t in sides[1] if x == c}
+        df = Counter(g for x in right.values() for g in x)
+        weigh = lambda x: {g: (1 + math.log(n)) * (1 + math.log((1 + len(right)) / (1 + df[g]))) for g, n in x.items() if df[g] >= 2}  # noqa: B023, E731
+        for s1, x, t in sides[0]:
+            if x == c:
+                a = weigh(grams(t))
+                size = lambda v: math.sqrt(sum(w * w for w in v.values()))
+                sims = [(sum(w * b.get(g, 0) for g, w in a.items()) / (size(a) * size(b)), s23) for s23, y in right.items() if (b := weigh(y)) and a]
+                want[s1] = sorted((round(-s, 9) for s, _ in sims if s > 0))[:5]
+    got = {}
+    one, many = (spark.createDataFrame(x, "entity_id long, country string, text string") for x in sides)
+    for r in blocking.trigram_top_k(one, many, 5, most).collect():
+        got.setdefault(r.s1, []).append(-r.sim)
+    assert {k: pytest.approx(sorted(v)) for k, v in got.items()} == {k: v for k, v in want.items() if v}
