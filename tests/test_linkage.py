@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import catalogue
 from tessera.functions import similarity as S
 from tessera.functions import text as T
 from tessera.operators import blocking, context, decide, dictionaries, evaluate, features, model, validate
@@ -137,3 +138,13 @@ def test_trigram_top_k_is_exact_with_frequent_trigrams(spark, most):
     for r in blocking.trigram_top_k(one, many, 5, most).collect():
         got.setdefault(r.s1, []).append(-r.sim)
     assert {k: pytest.approx(sorted(v)) for k, v in got.items()} == {k: v for k, v in want.items() if v}
+
+
+def test_queries_without_sql_keep_blocks_up_to_the_default_cap(spark, tmp_path):
+    def pairs(many: int) -> int:
+        text = lambda name: f"{name} trading company limited partners street house"
+        rows = [(0, text("corona"), "en", 900), *[(3 * i + 1, text("corona"), "en", 900) for i in range(many)]]
+        spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long").write.parquet(f"{tmp_path}/{many}/documents.parquet")
+        return catalogue.queries()["feat_ratio_family"](spark, f"{tmp_path}/{many}").count()
+
+    assert [pairs(n) for n in (21, 200, 201)] == [21, 200, 0]
