@@ -21,7 +21,7 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngramjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngramjoin.join(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return ngramjoin.join(read_table(spark, sf_dir, "documents"))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,9 +31,8 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
-    learn = docs.select("doc_id", "text").join(labels.select("doc_id", "toxic"), "doc_id").where(_remainder(3) != 1)
     rows = docs.select("doc_id", F.coalesce(_remainder(3) == 1, F.lit(False)).alias("held_out"), "text")
-    return toxicity.score(rows, toxicity.train(learn)).select("doc_id", "held_out", "score", "predicted", "spans")
+    return toxicity.score(rows, toxicity.train(docs, labels.where(_remainder(3) != 1))).select("doc_id", "held_out", "score", "predicted", "spans")
 
 
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,26 +16,38 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.skew import least_hashed
+from tessera.session import materialize
+
 #: The field is fitted on so many labelled documents of each label at most: those whose id has the least hash.
 DOCS_PER_LABEL = 1500
 #: G-squared and documents from which a word is evidence; words of a lexicon at most.
 LEAST_G2, LEAST_DOCS, LEXICON = 25.0, 5, 2000
-#: Marginals below this don't add to a document's score; a token from SPAN_AT on is part of a span.
-FLOOR, SPAN_AT, THRESHOLD = 0.05, 0.5, 0.7
+#: A token whose marginal is SPAN_AT or more is part of a span; a document of score THRESHOLD or more counts as toxic.
+SPAN_AT, THRESHOLD = 0.5, 0.7
 SEGMENT, STEPS, RATE, DECAY = 64, 200, 0.1, 1e-3
 WORD = re.compile(r"[^\W_]+")
 
 
-def lexicon(texts: list[set[str]], labels: list[int]) -> list[str]:
+def lexicon(texts: list[list[str]], labels: list[int]) -> list[str]:
+    """Words with more documents among the toxic ones than chance gives. Documents that repeat one passage say it once: a
+    word counts as many toxic documents at most as it has different pairs of neighbours there."""
     n1, n0 = sum(labels), len(labels) - sum(labels)
-    with_word = [Counter(w for t, y in zip(texts, labels, strict=True) if y == k for w in t) for k in (0, 1)]
+    with_word = [Counter(w for t, y in zip(texts, labels, strict=True) if y == k for w in set(t)) for k in (0, 1)]
+    often = {w for w, a in with_word[1].items() if a >= LEAST_DOCS and n0 and a / n1 > with_word[0][w] / n0}
+    beside: dict[str, set] = {w: set() for w in often}
+    for t, y in zip(texts, labels, strict=True):
+        if y:
+            for before, w, after in zip(["", *t], t, [*t[1:], ""], strict=False):
+                if w in often:
+                    beside[w].add((before, after))
     found = []
-    for w, a in with_word[1].items():
-        b = with_word[0][w]
-        if a >= LEAST_DOCS and n0 and n1 and a / n1 > b / n0:
+    for w in often:
+        a, b = min(with_word[1][w], len(beside[w])), with_word[0][w]
+        if a >= LEAST_DOCS and a / n1 > b / n0:
             share = (a + b) / (n0 + n1)
             cells = ((a, n1 * share), (b, n0 * share), (n1 - a, n1 * (1 - share)), (n0 - b, n0 * (1 - share)))
             g2 = 2 * sum(x * np.log(x / e) for x, e in cells if x > 0)
@@ -48,7 +60,7 @@ def fit(texts: list[str], labels: list[int]) -> dict:
     """Emission of T against O for each word of the lexicon and for all others, and transitions; by gradient ascent on the
     penalised likelihood of the labelled tokens, in segments of SEGMENT tokens (equal ones count once, weighted)."""
     tokens = [[w.lower() for w in WORD.findall(t or "")] for t in texts]
-    words = lexicon([set(t) for t in tokens], labels)
+    words = lexicon(tokens, labels)
     ids = {w: i + 1 for i, w in enumerate(words)}
     segments: Counter = Counter()
     for t, y in zip(tokens, labels, strict=True):
@@ -105,60 +117,91 @@ class Tagger:
         # neutral^n / high^n = project + ratio^n * (identity - project)
         self.project = (neutral - low * np.eye(2)) / max(root, 1e-12)
         self.rest = np.eye(2) - self.project
+        self.known = np.ones(1)
+        # log(1 - P(T)) of a word in the midst of an endless text without words of the lexicon
+        far = np.ones(2) @ self.project * (self.project @ np.ones(2))
+        self.plain = float(np.log1p(-min(far[1] / far.sum(), 1 - 1e-12)))
 
     def run(self, n: int) -> np.ndarray:
         """n neutral steps, up to a factor."""
         return self.project + self.ratio**n * self.rest
 
-    def marginals(self, at: list[int], ids: list[int], length: int) -> list[float]:
-        """P(T) of the lexicon's words, at positions ``at`` of a text of ``length`` words, by forward-backward."""
-        steps = [self.step * np.array([1.0, self.emit[k]]) for k in ids]
-        first = np.array([1.0, self.emit[ids[0]]]) if at[0] == 0 else np.array([1.0, self.emit[0]]) @ self.run(at[0] - 1) @ steps[0]
-        ahead = [first / first.sum()]
-        for j in range(1, len(at)):
-            f = ahead[-1] @ self.run(at[j] - at[j - 1] - 1) @ steps[j]
-            ahead.append(f / f.sum())
-        back = self.run(length - 1 - at[-1]) @ np.ones(2)
-        out = [0.0] * len(at)
-        for j in range(len(at) - 1, -1, -1):
-            p = ahead[j] * back
-            out[j] = float(p[1] / p.sum())
-            if j:
-                back = self.run(at[j] - at[j - 1] - 1) @ steps[j] @ back
-                back = back / back.sum()
-        return out
+    def powers(self, n: int) -> np.ndarray:
+        """ratio ** 0 to n - 1."""
+        if len(self.known) < n:
+            self.known = self.ratio ** np.arange(max(n, 2 * len(self.known)))
+        return self.known[:n]
+
+    def marginals(self, ids: list[int]) -> np.ndarray:
+        """P(T) of every word, by forward-backward. Between two words of the lexicon the messages are powers of the neutral
+        transfer matrix, which are known in closed form, so a run of them is one array operation."""
+        n = len(ids)
+        hits = [i for i, k in enumerate(ids) if k]
+        steps = {k: self.step * np.array([1.0, self.emit[k]]) for k in {ids[i] for i in hits}}
+        out = np.empty(n)
+        ends = [-1, *hits, n]  # runs lie between
+        # after[j]: message into the last word of run j from what follows; ones at the end
+        after: list[np.ndarray] = [np.ones(2)] * len(ends)
+        for j in range(len(ends) - 2, 0, -1):
+            beyond = self.run(ends[j + 1] - ends[j] - 1) @ after[j]
+            after[j - 1] = steps[ids[ends[j]]] @ (beyond / beyond.sum())
+        ahead = None  # forward message of the last hit
+        for j in range(len(ends) - 1):
+            start, length = ends[j] + 1, ends[j + 1] - ends[j] - 1
+            if length:
+                if ahead is None:  # the first word has no transition before it
+                    first, shift = np.array([1.0, self.emit[0]]), 0
+                else:
+                    first, shift = ahead, 1
+                r = self.powers(length + 1)
+                f = np.outer(np.ones(length), first @ self.project) + np.outer(r[shift : length + shift], first @ self.rest)
+                b = np.outer(np.ones(length), self.project @ after[j]) + np.outer(r[:length][::-1], self.rest @ after[j])
+                p = f * b
+                out[start : start + length] = p[:, 1] / p.sum(axis=1)
+            if j + 1 < len(ends) - 1:
+                k = ids[ends[j + 1]]
+                if ahead is None and not length:
+                    now = np.array([1.0, self.emit[k]])
+                else:
+                    before = np.array([1.0, self.emit[0]]) @ self.run(length - 1) if ahead is None else ahead @ self.run(length)
+                    now = before @ steps[k]
+                ahead = now / now.sum()
+                back = self.run(ends[j + 2] - ends[j + 1] - 1) @ after[j + 1]
+                p = ahead * back
+                out[ends[j + 1]] = p[1] / p.sum()
+        return np.clip(out, 0.0, 1.0)
 
     def __call__(self, text: str | None) -> tuple[float, list[dict]]:
         """Score and spans (code point offsets, end exclusive, largest marginal)."""
-        if not text or self.ids.keys().isdisjoint(WORD.findall(text.lower())):
-            return 0.0, []
-        found = list(WORD.finditer(text))
-        ids = [self.ids.get(m[0].lower(), 0) for m in found]
-        at = [i for i, k in enumerate(ids) if k]
-        if not at:
+        words = WORD.findall(text or "")
+        if not words:
             return 0.0, []
-        p = self.marginals(at, [ids[i] for i in at], len(ids))
+        get = self.ids.get
+        p = self.marginals([get(w, 0) for w in map(str.lower, words)])
+        score = float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum() - len(p) * self.plain))
+        sure = np.flatnonzero(p >= SPAN_AT)
         spans: list[dict] = []
-        clean, before = 1.0, None
-        for i, q in zip(at, p, strict=True):
-            if q >= FLOOR:
-                clean *= 1 - q
-            if q >= SPAN_AT:
+        if len(sure):
+            found = list(WORD.finditer(text))
+            before = None
+            for i in sure.tolist():
+                q = float(p[i])
                 if before == i - 1:
                     spans[-1] |= {"end": found[i].end(), "p": max(spans[-1]["p"], q)}
                 else:
                     spans.append({"start": found[i].start(), "end": found[i].end(), "p": q})
                 before = i
-        return min(1.0, max(0.0, 1 - clean)), spans
+        return min(1.0, max(0.0, score)), spans
 
 
-def train(labelled: DataFrame, per_label: int = DOCS_PER_LABEL) -> dict:
-    """The model of ``labelled`` (doc_id, text, toxic 0/1), fitted in one task on a bounded sample: ``per_label`` documents
-    of each label, of least hash. Rows with a null label are left out; with one label only, nothing is toxic."""
-    known = labelled.where("toxic in (0, 1) and doc_id is not null")
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = known.select("doc_id", "toxic").distinct().withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= per_label).select("doc_id", "toxic")
-    sample = known.select("doc_id", "toxic", "text").join(picked, ["doc_id", "toxic"], "left_semi").select("text", "toxic")
+def train(docs: DataFrame, labels: DataFrame, per_label: int = DOCS_PER_LABEL) -> dict:
+    """The model of ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic 0/1), fitted in one task on a bounded sample:
+    ``per_label`` labelled ids of each label, of least hash, and of an id that repeats the least text. Ids are picked from
+    the labels alone, and texts fetched by a join with that short list, so other texts never move. Null labels and ids are
+    left out; with one label only, or without any text, nothing is toxic."""
+    known = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
+    picked = materialize(least_hashed(known, "toxic", "doc_id", per_label), "picked")  # written, so that Spark knows its size
+    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")  # 2 per_label rows at most
 
     def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         texts, labels = [], []
