@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -36,6 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not found and sc._jsc.sc().getCheckpointDir().isDefined():
         found = sc._jsc.sc().getCheckpointDir().get()
     if not found:
+        if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -63,6 +66,16 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def release(*tables: DataFrame) -> None:
+    """Remove tables written by ``materialize``, and let Spark delete the shuffle files of steps that have ended: it does so
+    when the driver collects its garbage, which may be long after executors' disks are full."""
+    for t in tables:
+        discard(t)
+    spark = SparkSession.getActiveSession()
+    if spark:
+        spark.sparkContext._jvm.System.gc()
+
+
 def ship(spark: SparkSession) -> None:
     """Let the executors' Python import the package: where their path lacks it, it goes along as a zip."""
     home = Path(__file__).resolve().parent.parent
