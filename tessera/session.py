@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
@@ -71,6 +72,7 @@ def release(*tables: DataFrame) -> None:
     when the driver collects its garbage, which may be long after executors' disks are full."""
     for t in tables:
         discard(t)
+    gc.collect()  # Python holds on to the driver's objects
     spark = SparkSession.getActiveSession()
     if spark:
         spark.sparkContext._jvm.System.gc()
