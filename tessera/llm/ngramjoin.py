@@ -1,10 +1,11 @@
 """N-gram Jaccard join by MinHash banding, with every candidate verified on full n-gram sets.
 
 Texts with equal n-gram sets are one class from the start, so copies are never expanded into pairs. The number of bands and
-rows follows from the recall wanted at the threshold. Classes that share a band's hash are tied to the least of them; the
-connected components of these ties hold all candidate pairs. Within a component every pair is verified, in cells of two
-chunks of bounded size, so that neither a hot band nor a group of thousands of near copies meets in one task. A cell puts
-out counts and a spanning forest, not pairs: links grow with the square of a group, rows do not.
+rows follows from the recall wanted at the threshold. Classes that share a band's hash are in one bucket. Each class belongs
+to the largest of its buckets; the classes of a bucket are dealt into parts of bounded size, and two parts (or one with
+itself) make a cell if some bucket holds classes of both. So every pair that shares a band meets in exactly one cell, however
+many bands it shares, and classes that a chain of others ties together don't. A cell verifies its pairs on full n-gram sets
+and puts out counts and a spanning forest, not pairs: links grow with the square of a group, rows do not.
 """
 
 from __future__ import annotations
@@ -16,14 +17,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.graph import connected_components
+from tessera.llm.skew import spread_join
 from tessera.session import materialize
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.9995
-#: Hashes of a signature at most; classes of a chunk, on average; remembered word hashes of a worker.
+#: Hashes of a signature at most; classes of a part, on average; remembered word hashes of a worker.
 HASHES, CHUNK, MEMO = 160, 256, 400_000
 _ROLL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -82,25 +84,31 @@ def set_key(grams: np.ndarray) -> bytes | None:
 
 
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, key, bands) of ``docs`` (doc_id long, text)."""
+    """(doc_id, uid, key, bands) of ``docs`` (doc_id long, text). Ids stay out of Python, where a batch that holds a null would
+    turn them into inexact numbers."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("key binary, bands array<long>")
+    def signed(texts: pd.Series) -> pd.DataFrame:
         rng = np.random.default_rng(20240101)
         a = rng.integers(0, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         b = rng.integers(0, 2**63, bands * rows, dtype=np.uint64)
-        for batch in batches:
-            keys, all_bands = [], []
-            for text in batch["text"]:
-                grams = ngrams(text, n)
-                keys.append(set_key(grams))
-                if len(grams):
-                    s = signature(grams, a, b).reshape(bands, rows)
-                    all_bands.append([xxhash.xxh64_intdigest(r.tobytes(), seed=i) - (1 << 63) for i, r in enumerate(s)])
-                else:
-                    all_bands.append(None)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "key": keys, "bands": all_bands})
+        keys, all_bands = [], []
+        for text in texts:
+            grams = ngrams(text, n)
+            keys.append(set_key(grams))
+            if len(grams):
+                s = signature(grams, a, b).reshape(bands, rows)
+                all_bands.append([xxhash.xxh64_intdigest(r.tobytes(), seed=i) - (1 << 63) for i, r in enumerate(s)])
+            else:
+                all_bands.append(None)
+        return pd.DataFrame({"key": keys, "bands": all_bands})
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("uid"), signed("text").alias("s")).select("doc_id", "uid", "s.key", "s.bands")
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, key binary, bands array<long>")
+
+def row_key() -> Column:
+    """What rows of one id and one text share."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
 
 
 def verified(sets: list[np.ndarray], threshold: float, first: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -150,73 +158,93 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> list[int]:
     return [root(x) for x in range(n)]
 
 
+def cells_of(classes: DataFrame, chunk: int) -> DataFrame:
+    """(key, part, cells: array of (a, b)) of the classes that share a band with another. ``classes``: key, bands."""
+    bands = classes.select("key", F.posexplode("bands").alias("band", "hash")).select("key", F.xxhash64("band", "hash").alias("bucket"))
+    sizes = materialize(bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    ties = materialize(spread_join(bands, sizes, ["bucket"], "n", sizes.agg(F.sum("n")).first()[0] or 0, ["key"]), "ties")
+    homes = materialize(ties.groupBy("key").agg(F.max(F.struct("n", "bucket"))["bucket"].alias("home")), "homes")
+    groups = homes.groupBy("home").agg(F.count("*").alias("members"))
+    nodes = spread_join(homes, groups, ["home"], "members", homes.count(), ["key"])
+    nodes = materialize(nodes.select("key", F.xxhash64("home", F.pmod(F.xxhash64("key"), F.ceil(F.col("members") / chunk))).alias("part")), "parts")
+    met = ties.join(nodes, "key").groupBy("bucket", "part").agg(F.count("*").alias("n"))
+    met = met.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("part", "n"))).alias("parts"))  # a row a part, not a class
+    pairs = met.select(F.explode("parts").alias("x"), "parts").select("x", F.explode("parts").alias("y"))
+    pairs = pairs.where("x.part < y.part or (x.part = y.part and x.n > 1)").select(F.col("x.part").alias("a"), F.col("y.part").alias("b")).distinct()
+    placed = pairs.select(F.struct("a", "b").alias("cell"), F.explode(F.array_distinct(F.array("a", "b"))).alias("part")).groupBy("part").agg(F.collect_list("cell").alias("cells"))
+    return nodes.join(placed, "part")
+
+
 def linked(classes: DataFrame, docs: DataFrame, n: int, threshold: float, chunk: int) -> DataFrame:
-    """(key, root, links): for each cell and class in it, the cell's root of its tree and the number of documents in classes
-    that are linked to it there. ``classes``: key, rep, size, bands."""
-    bands = classes.select("key", F.posexplode("bands").alias("band", "hash"))
-    hubs = bands.groupBy("band", "hash").agg(F.min("key").alias("hub"), F.count("*").alias("__n")).where("__n > 1").drop("__n")
-    ties = bands.join(hubs, ["band", "hash"]).where("key <> hub").select(F.col("key").alias("src"), F.col("hub").alias("dst")).distinct()
-    group = materialize(connected_components(ties), "candidates")
-    chunks = group.groupBy("component").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
-    nodes = group.join(chunks, "component").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    nodes = nodes.join(classes.select(F.col("key").alias("node"), "rep", "size"), "node")
-    nodes = nodes.groupBy("rep").agg(F.collect_list(F.struct("node", "component", "chunks", "mine", "size")).alias("nodes"))  # one, but for ids that repeat with other texts
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(nodes, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", F.explode("nodes").alias("at")).select("text", "at.*")
-
-    def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for i in range(0, len(batch), 500):
-                part = batch.iloc[i : i + 500]
-                grams = [ngrams(t, n) for t in part["text"]]
-                same = [set_key(g) == k for g, k in zip(grams, part["node"], strict=True)]
-                yield part.drop(columns="text").assign(grams=[g.tobytes() for g in grams])[same]
-
-    rows = texts.mapInPandas(shingled, "node binary, component binary, chunks int, mine int, size long, grams binary")
-    # of an id that repeats with the same n-grams one row is enough: cells tell rows by node
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.select("component", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "mine", "node", "size", "grams")
-    dealt = rows.repartition("component", "a", "b").sortWithinPartitions("component", "a", "b", "mine", "node")
+    """(key, root, links): for each cell and class with a link in it, the cell's root of its tree and the number of documents
+    in classes that are linked to it there. ``classes``: key, rep, size, bands."""
+    nodes = cells_of(classes, chunk).join(classes.select("key", "rep.uid", "size"), "key").withColumnRenamed("uid", "__rep")
+    texts = docs.select("text", row_key().alias("uid")).join(nodes, F.col("uid") == F.col("__rep"))
+
+    @F.pandas_udf("binary")
+    def shingles(texts: pd.Series, keys: pd.Series) -> pd.Series:
+        """Null where another row's key happens to be the same."""
+        grams = (ngrams(t, n) for t in texts)
+        return pd.Series([g.tobytes() if set_key(g) == bytes(k) else None for g, k in zip(grams, keys, strict=True)], dtype=object)
+
+    rows = texts.select("key", "part", "cells", "size", shingles("text", "key").alias("grams")).where("grams is not null")
+    # of rows that repeat one is enough: cells tell rows by key
+    rows = rows.select(F.explode("cells").alias("cell"), "part", "key", "size", "grams").select("cell.a", "cell.b", "part", "key", "size", "grams")
+    dealt = rows.repartition("a", "b").sortWithinPartitions("a", "b", "part", "key")
 
     def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, held = None, []
 
         def close() -> pd.DataFrame:
-            a, b = now[1], now[2]
-            first = None if a == b else sum(r[0] == a for r in held)
+            first = None if now[0] == now[1] else sum(r[0] == now[0] for r in held)  # parts ascend, a before b
             i, j = verified([np.frombuffer(r[3], dtype=np.uint64) for r in held], threshold, first)
             size = np.array([r[2] for r in held], dtype=np.int64)
-            links = np.bincount(i, size[j], len(held)) + np.bincount(j, size[i], len(held))
+            links = (np.bincount(i, size[j], len(held)) + np.bincount(j, size[i], len(held))).astype("int64")
             roots = _roots(len(held), i, j)
-            return pd.DataFrame({"key": [r[1] for r in held], "root": [held[x][1] for x in roots], "links": links.astype("int64")})
+            return pd.DataFrame({"key": [r[1] for r in held], "root": [held[x][1] for x in roots], "links": links})[links > 0]
 
         for batch in batches:
-            for c, a, b, mine, node, size, grams in zip(*(batch[x] for x in ("component", "a", "b", "mine", "node", "size", "grams")), strict=True):
-                if now != (c, a, b):
-                    if held:
+            for a, b, part, key, size, grams in zip(*(batch[x] for x in ("a", "b", "part", "key", "size", "grams")), strict=True):
+                if now != (a, b):
+                    if len(held) > 1:
                         yield close()
-                    now, held = (c, a, b), []
-                if not held or held[-1][1] != node:
-                    held.append((mine, node, size, grams))
-        if held:
+                    now, held = (a, b), []
+                if not held or held[-1][1] != key:
+                    held.append((part, key, size, grams))
+        if len(held) > 1:
             yield close()
 
     return dealt.mapInPandas(cells, "key binary, root binary, links long")
 
 
 def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, class_id, n_links) of every row of ``docs`` (doc_id, text): the least doc_id of its connected component over
-    links (Jaccard similarity of n-gram sets >= threshold) and the number of rows it is linked to. Null and wordless texts
-    are linked to nothing and are their own class. Rows that repeat an id come out repeated; a null id is never a class's
-    id unless there is no other."""
+    """(doc_id, class_id, n_links) of every row of ``docs``, as ``join_rows`` gives them."""
+    return join_rows(docs, n, threshold, recall, chunk).select("doc_id", "class_id", "n_links")
+
+
+def join_rows(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, chunk: int = CHUNK) -> DataFrame:
+    """(doc_id, class_id, n_links, uid, class_uid) of every row of ``docs`` (doc_id, text): the least doc_id of its connected
+    component over links (Jaccard similarity of n-gram sets >= threshold), the number of rows it is linked to, and the row
+    keys (``row_key``) of the row and of the component's first row by (doc_id, row key). Null and wordless texts are linked
+    to nothing and are their own class. Rows that repeat an id come out repeated; a null id is never a class's id unless there
+    is no other. Other columns don't matter."""
     bands, rows = bands_and_rows(threshold, recall)
+    docs = docs.select("doc_id", "text")
     signed = materialize(signatures(docs, n, bands, rows), "signatures")
-    classes = materialize(signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("bands").alias("bands")), "classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid"))
+    classes = materialize(signed.where("key is not null").groupBy("key").agg(first.alias("rep"), F.count("*").alias("size"), F.first("bands").alias("bands")), "classes")
     found = materialize(linked(classes, docs, n, threshold, chunk), "links")
     groups = connected_components(found.select(F.col("key").alias("src"), F.col("root").alias("dst")))
     counts = found.groupBy("key").agg(F.sum("links").alias("links"))
     told = classes.select("key", "rep", "size").join(groups.withColumnRenamed("node", "key"), "key", "left").join(counts, "key", "left")
     told = told.withColumn("component", F.coalesce("component", "key"))
-    ids = told.groupBy("component").agg(F.min("rep").alias("class_id"))
-    told = materialize(told.join(ids, "component").select("key", "class_id", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links")), "told")
-    out = signed.select("doc_id", "key").join(told, "key", "left")
-    return out.select("doc_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    ids = told.groupBy("component").agg(F.min("rep").alias("least"), F.count("*").alias("members"))
+    told = spread_join(told, ids, ["component"], "members", classes.count(), ["key"])
+    told = told.select("key", F.col("least.doc_id").alias("class_id"), F.col("least.uid").alias("class_uid"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), "size")
+    told = materialize(told, "told")
+    # texts without a word have no key: one of their own, so that they don't gather
+    alone = F.col("key").isNull()
+    out = signed.select("doc_id", "uid", alone.alias("alone"), F.coalesce("key", F.concat(F.lit("-"), F.col("uid").cast("string")).cast("binary")).alias("key"))
+    out = spread_join(out, told, ["key"], "size", signed.count(), ["uid"], "left")
+    own = lambda mine, theirs: F.when(F.col("alone"), F.col(mine)).otherwise(F.col(theirs)).alias(theirs)
+    return out.select("doc_id", own("doc_id", "class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "uid", own("uid", "class_uid"))
