@@ -2,13 +2,14 @@
 
 An ARC record is one header line, whose fields the archive's version block declares, and as many bytes as that line says.
 ``convert`` parses it and synthesises the WARC record that says the same: identifier, timestamp, type and digest. Archives
-are written by Spark's text writer, gzipped, so they may lie in any store that Spark reaches; they are read by declared
-lengths, not by separators.
+are written by Spark's text writer, a gzip member a record, so they may lie in any store that Spark reaches; a new archive
+begins at a bounded size. They are read by declared lengths, not by separators.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -19,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.skew import spread_join
+
 #: Field names of the two versions' header lines (fixed values of the format).
 FIELDS = {
     1: ["URL", "IP-address", "Archive-date", "Content-type", "Archive-length"],
@@ -27,6 +30,8 @@ FIELDS = {
 CRLF = b"\r\n"
 #: Smaller payloads are stored each time.
 LEAST_REVISIT = 1000
+#: Bytes from which an archive is full: it has at most one record more.
+ARCHIVE_BYTES = 32 << 20
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
 
@@ -153,35 +158,43 @@ def read_warc(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]
         at = 0
 
 
-def unzipped(data: bytes, step: int = 1 << 20) -> Iterator[bytes]:
-    """The bytes of a gzip file of one or more members, in pieces."""
+def unzipped(data: bytes, feed: int = 1 << 16, step: int = 1 << 20) -> Iterator[bytes]:
+    """The bytes of a gzip file of one or more members, in pieces; a little is fed at a time, as members are small."""
     view = memoryview(data)
-    while len(view):
+    at = 0
+    while at < len(view):
         z = zlib.decompressobj(31)
-        pending = view
         while not z.eof:
-            out = z.decompress(pending, step)
-            pending = z.unconsumed_tail
-            if out:
-                yield out
-            elif not pending and not z.eof:
+            if at >= len(view):
                 raise ValueError("truncated gzip member")
-        view = memoryview(z.unused_data)
+            part = view[at : at + feed]
+            at += len(part)
+            out = z.decompress(part, step)
+            while out:
+                yield out
+                out = z.decompress(z.unconsumed_tail, step) if not z.eof else b""
+            at -= len(z.unused_data)
 
 
 def first_copies(pages: DataFrame, page: str = "page_id", payload: str = "html", least: int = LEAST_REVISIT) -> DataFrame:
-    """(__digest, __first): of payloads of ``least`` bytes or more that occur on several rows, the largest page."""
+    """(__digest, __rows, __first): of payloads of ``least`` bytes or more that occur on several rows, their number and the
+    largest page."""
     body = F.encode(F.coalesce(F.col(payload), F.lit("")), "UTF-8")
     digests = pages.select(F.sha1(body).alias("__digest"), F.octet_length(body).alias("__n"), F.col(page).alias("__page")).where(F.col("__n") >= least)
-    return digests.groupBy("__digest").agg(F.count("*").alias("__rows"), F.max("__page").alias("__first")).where("__rows > 1 and __first is not null").select("__digest", "__first")
+    return digests.groupBy("__digest").agg(F.count("*").alias("__rows"), F.max("__page").alias("__first")).where("__rows > 1 and __first is not null")
 
 
 def records(pages: DataFrame, first: DataFrame, date: str = "20240101000000", page: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
     """One row for each page with ``record``, its WARC record. Each batch of pages becomes two ARC archives, of version 1
-    (even pages) and 2 (odd ones), which are then parsed and converted. Null payloads are empty, null urls are ``-``."""
+    (even pages) and 2 (odd ones), which are then parsed and converted. Null payloads are empty, null urls are ``-``. Page
+    numbers travel as text, as whole numbers with nulls between them would become inexact in a batch. Rows that repeat a page
+    are written each; other columns don't matter."""
     body = F.coalesce(F.col(payload), F.lit(""))
-    rows = pages.select(F.col(page).alias("page"), F.col(url).alias("url"), body.alias("html"), F.sha1(F.encode(body, "UTF-8")).alias("__digest"))
-    rows = rows.join(first, "__digest", "left").select("page", "url", "html", F.when(F.col("__first") > F.col("page"), F.col("__first")).alias("first"))
+    # only large payloads can meet a copy; others get a key of their own, so that empty ones don't gather
+    digest = F.when(F.octet_length(body) >= LEAST_REVISIT, F.sha1(F.encode(body, "UTF-8"))).otherwise(F.coalesce(F.col(page).cast("string"), F.lit("")))
+    rows = pages.select(F.col(page).cast("long").alias("page"), F.col(url).alias("url"), body.alias("html"), digest.alias("__digest"))
+    copies = first.agg(F.sum("__rows")).first()[0] or 0
+    rows = spread_join(rows, first, ["__digest"], "__rows", copies, ["page"], "left").select(F.col("page").cast("string").alias("page"), "url", "html", F.when(F.col("__first") > F.col("page"), F.col("__first")).cast("string").alias("first"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -190,30 +203,53 @@ def records(pages: DataFrame, first: DataFrame, date: str = "20240101000000", pa
             for p, u, html, f in zip(batch["page"].tolist(), batch["url"].tolist(), batch["html"].tolist(), batch["first"].tolist(), strict=True):
                 data = html.encode()
                 head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(data)}\r\n\r\n".encode()
-                v = 1 if p is None or p != p or int(p) % 2 == 0 else 2
+                v = 2 if p and int(p) % 2 else 1
                 archives[v].append(arc_record(v, u, date, head + data, offset=len(archives[v])))
                 told[v].append((p, f))
             out = []
             for v, parts in archives.items():
                 for (header, content), (p, f) in zip(read_arc(b"".join(parts)), told[v], strict=True):
-                    more = {} if p is None or p != p else {"Page-ID": str(int(p))}
                     to = None
-                    if f is not None and f == f:
+                    if f:
                         body = hashlib.sha1((_split_http(content) or (b"", content))[1]).digest()
-                        to = (record_id(date, body, str(int(f))), str(int(f)))
-                    out.append(convert(header, content, more, to))
+                        to = (record_id(date, body, f), f)
+                    out.append(convert(header, content, {"Page-ID": p} if p else {}, to))
             yield pd.DataFrame({"record": out})
 
     return rows.mapInPandas(run, "record binary")
 
 
-def write(records: DataFrame, path: str) -> None:
-    """One gzipped archive a partition. The text writer puts out the bytes of a string as they are."""
-    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+def member(record: bytes) -> bytes:
+    """A record as a gzip member. A member ends in its length, whose highest byte isn't 0 from 16 MiB on; an empty member
+    then follows, so that what comes out always ends in a 0 byte."""
+    made = gzip.compress(record + CRLF + CRLF, 6, mtime=0)
+    return made if made[-1] == 0 else made + gzip.compress(b"", mtime=0)
+
+
+def write(records: DataFrame, path: str, most: int = ARCHIVE_BYTES) -> None:
+    """Archives of ``most`` bytes and a record at most, one a file. The text writer puts out the bytes of a string as they
+    are, and a separator after each: the 0 byte that every member ends in."""
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[bytes] = []
+        size = 0
+        for batch in batches:
+            for record in batch["record"]:
+                held.append(member(record))
+                size += len(held[-1])
+                if size >= most:
+                    yield pd.DataFrame({"archive": [b"".join(held)[:-1]]})
+                    held, size = [], 0
+        if held:
+            yield pd.DataFrame({"archive": [b"".join(held)[:-1]]})
+
+    archives = records.mapInPandas(packed, "archive binary")
+    archives.select(F.col("archive").cast("string").alias("value")).write.options(lineSep="\0", maxRecordsPerFile=1).text(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each record of the archives in a folder: headers, the payload's full length and digest, and the block."""
+    """One row for each record of the archives in a folder: headers, the payload's full length and digest, and the block. Of
+    a record that holds its payload both are found anew, and must be what its headers say."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -221,11 +257,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 rows: list[tuple] = []
                 held = 0
                 for h, block in read_warc(unzipped(content)):
-                    digest = base64.b32decode(h["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
+                    digest, length = base64.b32decode(h["WARC-Payload-Digest"].removeprefix("sha1:")).hex(), int(h["Payload-Length"])
                     body = (_split_http(block) or (b"", block))[1]
-                    if h["WARC-Type"] != "revisit" and hashlib.sha1(body).hexdigest() != digest:
-                        raise ValueError(f"digest of {h['WARC-Record-ID']} does not fit its payload")
-                    rows.append((h.get("Page-ID"), h["WARC-Record-ID"], h["WARC-Type"], h["WARC-Date"], h.get("WARC-Target-URI"), int(h["Payload-Length"]), digest, h.get("Refers-To-Page-ID"), block))
+                    if h["WARC-Type"] != "revisit" and (hashlib.sha1(body).hexdigest() != digest or len(body) != length):
+                        raise ValueError(f"digest or length of {h['WARC-Record-ID']} does not fit its payload")
+                    rows.append((h.get("Page-ID"), h["WARC-Record-ID"], h["WARC-Type"], h["WARC-Date"], h.get("WARC-Target-URI"), length, digest, h.get("Refers-To-Page-ID"), block))
                     held += len(block)
                     if held > 8 << 20:
                         yield pd.DataFrame(rows, columns=names)
