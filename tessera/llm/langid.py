@@ -17,6 +17,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.skew import least_hashed
+from tessera.session import materialize
+
 #: Length of a profile; documents of each language that a profile is learned from at most, those of least hash.
 PROFILE_SIZE, DOCS_PER_LANG = 400, 400
 UNKNOWN = "und"
@@ -53,10 +56,9 @@ def learn_profiles(docs: DataFrame, size: int = PROFILE_SIZE, per_lang: int = DO
     """Profiles of every non-null ``lang`` of ``docs`` (doc_id, text, lang), each from ``per_lang`` documents at most:
     those whose id has the least hash. Ids are picked first, so that texts of other documents never move; what comes to
     the driver is ``size`` codes a language."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     known = docs.where("lang is not null and text is not null and doc_id is not null")
-    picked = known.select("doc_id", "lang").withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= per_lang)
-    sample = known.select("doc_id", "lang", "text").join(picked.select("doc_id", "lang").distinct(), ["doc_id", "lang"], "left_semi").select("lang", "text")
+    picked = materialize(least_hashed(known, "lang", "doc_id", per_lang), "picked")  # written, so that Spark knows its size
+    sample = known.select("doc_id", "lang", "text").join(picked, ["doc_id", "lang"], "left_semi").select("lang", "text")
 
     def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
