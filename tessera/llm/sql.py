@@ -79,12 +79,12 @@ from ranked
 
 OP1 = """
 with v as (
-  select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as e from embeddings
+  select vec_id, row_number() over () as n, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as e from embeddings
   where vec_id is not null and embedding is not null and len(embedding) > 0 and list_count(embedding) = len(embedding) and len(list_filter(embedding, lambda x: not isfinite(x))) = 0),
 s as (
-  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::bigint as score
+  select q.n, q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::bigint as score
   from v q join v c on q.vec_id % 20 = 0 and c.vec_id <> q.vec_id and len(c.e) = len(q.e)),
-r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+r as (select *, row_number() over (partition by n order by score desc, vec_id)::int as rank from s)
 select query_id, rank, vec_id, score from r where rank <= 20
 """
 

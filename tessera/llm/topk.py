@@ -4,8 +4,9 @@ Vectors are ordered by length and cut into buckets of like lengths. A query that
 from a bucket of largest length L only vectors whose cosine with it is t / (|q| L) or more, its local threshold. Over 1
 prunes the bucket. A high one prunes by coordinates: each of the query's largest coordinates bounds what a vector of that
 cosine can have there. A low one prunes by length alone: vectors shorter than t / |q| end the scan. What remains is
-verified by full products. Queries are dealt in blocks and buckets in groups, a block of queries meeting each group once,
-so that no task holds more than a block and a group; nothing is broadcast.
+verified by full products. Queries are dealt in blocks of like lengths and buckets in groups of like lengths. All blocks meet
+the group of the longest vectors first; the k-th scores found there are the thresholds with which a block goes on, to the
+groups alone that one of its queries could still gain from. A cell holds one block and one group.
 """
 
 from __future__ import annotations
@@ -17,8 +18,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import materialize
+
 #: Vectors of a bucket, buckets of a group, queries of a block.
-BUCKET, GROUP, BLOCK = 2048, 16, 1024
+BUCKET, GROUP, BLOCK = 2048, 8, 1024
 #: Local thresholds from which coordinates prune; coordinates of the query that are looked at.
 BY_COORDINATE, FOCUS = 0.6, 4
 EXACT = float(2**53)
@@ -32,12 +35,13 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & F.coalesce(F.forall(vector, lambda x: fine(x.cast("double"))), F.lit(False))
 
 
-def bucketed(vectors: DataFrame, partitions: int | None = None) -> DataFrame:
-    """``vectors`` (vec_id long, v array<double>) packed by length, longest first: (part, bucket, ids, data, dim). The range
-    partitioning is by length and then id, so equal lengths are spread as well."""
+def bucketed(vectors: DataFrame, size: int, group: int, partitions: int | None = None) -> DataFrame:
+    """``vectors`` (vec_id long, v array<double>) packed by length, longest first: (grp, bucket, top: the largest length, ids,
+    data, dim). The range partitioning is by length and then id, so equal lengths are spread as well; a group is ``group``
+    buckets that follow each other, so a hot length only makes more groups."""
     norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     rows = vectors.select("vec_id", "v", norm.alias("norm"))
-    order = (F.desc("norm"), F.asc("vec_id"))
+    order = (F.desc("norm"), F.asc("vec_id"), F.xxhash64("v"))
     dealt = (rows.repartitionByRange(partitions, *order) if partitions else rows.repartitionByRange(*order)).sortWithinPartitions(*order)
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -45,11 +49,11 @@ def bucketed(vectors: DataFrame, partitions: int | None = None) -> DataFrame:
 
         def packed():
             x = np.array(held)
-            return pd.DataFrame({"bucket": [f"{part}-{n}"], "ids": [np.array(ids, dtype="<i8").tobytes()], "data": [x.astype("<f8").tobytes()], "dim": [x.shape[1]]})
+            return pd.DataFrame({"grp": [f"{part}-{n // group}"], "bucket": [f"{part}-{n}"], "top": [float(np.sqrt((x[0] * x[0]).sum()))], "ids": [np.array(ids, dtype="<i8").tobytes()], "data": [x.astype("<f8").tobytes()], "dim": [x.shape[1]]})
 
         for batch in batches:
             for p, i, v in zip(batch["part"], batch["vec_id"], batch["v"], strict=True):
-                if held and (len(held) == BUCKET or len(v) != len(held[0])):
+                if held and (len(held) == size or len(v) != len(held[0])):
                     yield packed()
                     n, ids, held = n + 1, [], []
                 part = p
@@ -58,7 +62,7 @@ def bucketed(vectors: DataFrame, partitions: int | None = None) -> DataFrame:
         if held:
             yield packed()
 
-    return dealt.withColumn("part", F.spark_partition_id()).select("part", "vec_id", "v").mapInPandas(pack, "bucket string, ids binary, data binary, dim int")
+    return dealt.withColumn("part", F.spark_partition_id()).select("part", "vec_id", "v").mapInPandas(pack, "grp string, bucket string, top double, ids binary, data binary, dim int")
 
 
 def _open(row) -> tuple[np.ndarray, np.ndarray]:
@@ -73,17 +77,23 @@ def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 class _Best:
-    """The k best of each query of a block so far, ties to the smaller id."""
+    """The k best of each query of a block so far, ties to the smaller id. ``floor``: scores known from elsewhere that k
+    vectors reach."""
 
-    def __init__(self, ids: np.ndarray, k: int):
+    def __init__(self, ids: np.ndarray, k: int, floor: np.ndarray | None = None):
         self.ids, self.k = ids, k
+        self.floor = np.full(len(ids), -np.inf) if floor is None else floor
         self.score = np.full((len(ids), k), NONE)
         self.vec = np.full((len(ids), k), np.iinfo("int64").max)
         self.full = np.zeros(len(ids), dtype=bool)
 
     @property
     def least(self) -> np.ndarray:
-        return np.where(self.full, self.score[:, -1].astype(float), -np.inf)
+        return np.maximum(np.where(self.full, self.score[:, -1].astype(float), -np.inf), self.floor)
+
+    def found(self, block: str) -> pd.DataFrame:
+        r, c = np.nonzero(self.vec != np.iinfo("int64").max)
+        return pd.DataFrame({"block": block, "place": r.astype("int32"), "query_id": self.ids[r], "vec_id": self.vec[r, c], "score": self.score[r, c]})
 
     def add(self, rows: np.ndarray, vec: np.ndarray, scores: np.ndarray) -> None:
         """scores: rows by vec; a query's own vector does not count."""
@@ -108,7 +118,7 @@ def search_bucket(q: np.ndarray, q_norm: np.ndarray, best: _Best, ids: np.ndarra
     """Adds a bucket (x, longest first) to the best of all queries of a block."""
     norm = np.sqrt((x * x).sum(axis=1))
     with np.errstate(divide="ignore", invalid="ignore"):
-        local = np.where(best.full, best.least / (q_norm * norm[0]), -np.inf)
+        local = np.where(np.isfinite(best.least), best.least / (q_norm * norm[0]), -np.inf)
     local = np.where(np.isnan(local), -np.inf, local) * (1 - 1e-12)
     high = (local >= BY_COORDINATE) & (local <= 1)
     for r in np.flatnonzero(high):
@@ -124,7 +134,7 @@ def search_bucket(q: np.ndarray, q_norm: np.ndarray, best: _Best, ids: np.ndarra
     low = np.flatnonzero(local < BY_COORDINATE)
     if len(low):
         with np.errstate(divide="ignore", invalid="ignore"):
-            need = np.where(best.full[low] & (best.least[low] > 0), best.least[low] / q_norm[low], 0.0).min() * (1 - 1e-12)
+            need = np.where(best.least[low] > 0, best.least[low] / q_norm[low], 0.0).min() * (1 - 1e-12)
         n = int(np.searchsorted(-norm, -need, "right"))
         if n:
             best.add(low, ids[:n], _products(q[low], x[:n]))
@@ -133,30 +143,56 @@ def search_bucket(q: np.ndarray, q_norm: np.ndarray, best: _Best, ids: np.ndarra
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, group: int = GROUP, partitions: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k largest inner products of each query with every other row, ties to the smaller
     vec_id; all, if there are fewer. ``vectors``: vec_id long, v array<double> of whole numbers, with no nulls (``usable``).
-    Vectors of another dimension than the query's are no candidates. Rows of a repeated vec_id are all candidates of others."""
-    packed = bucketed(vectors.select("vec_id", "v"), partitions)
-    asked = bucketed(vectors.where(is_query).select("vec_id", "v"), partitions)
-    # groups of buckets by hash of their name; how many follows from the count of vectors, so a group's size is bounded
-    count = vectors.count()
-    columns = max(1, -(-count // (BUCKET * group)))
-    blocks = vectors.where(is_query).count()
-    lines = max(1, -(-blocks // BLOCK))
-    right = packed.withColumn("col", F.pmod(F.xxhash64("bucket"), F.lit(columns))).withColumn("line", F.explode(F.sequence(F.lit(0), F.lit(lines - 1))))
-    left = asked.withColumn("line", F.pmod(F.xxhash64("bucket"), F.lit(lines))).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
+    Vectors of another dimension than the query's are no candidates. Every query row has a result of its own, also where
+    rows repeat a vec_id: then rows of the query's id are its own, and no candidates, and rows of another repeated id are
+    candidates each."""
+    packed = materialize(bucketed(vectors.select("vec_id", "v"), BUCKET, group, partitions), "buckets")
+    asked = materialize(bucketed(vectors.where(is_query).select("vec_id", "v"), BLOCK, 1, partitions), "blocks").select(F.col("bucket").alias("block"), F.col("ids").alias("qids"), F.col("data").alias("q"), F.col("dim").alias("qdim"))
+    groups = packed.groupBy("grp").agg(F.max("top").alias("top"))  # one row for BUCKET * group vectors
+    longest = groups.orderBy(F.desc("top"), "grp").limit(1).select("grp")
+    schema = "block string, place int, query_id long, vec_id long, score long"
 
     def meet(queries: pd.DataFrame, buckets: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        held = sorted((_open(b) for b in buckets.itertuples()), key=lambda b: -float((b[1][0] ** 2).sum()))
-        for block in queries.itertuples():
-            ids, q = _open(block)
-            best, q_norm = _Best(ids, k), np.sqrt((q * q).sum(axis=1))
-            for vec, x in held:
-                if x.shape[1] == q.shape[1]:
-                    search_bucket(q, q_norm, best, vec, x)
-            r, c = np.nonzero(best.vec != np.iinfo("int64").max)
-            out.append(pd.DataFrame({"query_id": ids[r], "vec_id": best.vec[r, c], "score": best.score[r, c]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-
-    found = left.groupBy("line", "col").cogroup(right.groupBy("line", "col")).applyInPandas(meet, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        if not len(queries) or not len(buckets):
+            return pd.DataFrame({"block": [], "place": [], "query_id": [], "vec_id": [], "score": []})
+        block = queries.iloc[0]
+        ids, q = np.frombuffer(block.qids, dtype="<i8"), np.frombuffer(block.q, dtype="<f8").reshape(-1, block.qdim)
+        floor = np.frombuffer(block.floor, dtype="<f8") if block.floor is not None else None
+        best, q_norm = _Best(ids, k, floor), np.sqrt((q * q).sum(axis=1))
+        for row in buckets.sort_values(["top", "bucket"], ascending=[False, True]).itertuples():
+            vec, x = _open(row)
+            if x.shape[1] == q.shape[1]:
+                search_bucket(q, q_norm, best, vec, x)
+        return best.found(block.block)
+
+    def search(cells: DataFrame) -> DataFrame:
+        """cells: (block, grp, floor)."""
+        left = asked.join(cells, "block")
+        right = packed.join(cells.select("block", "grp"), "grp").select(F.col("block").alias("for_block"), F.col("grp").alias("in_grp"), "bucket", "top", "ids", "data", "dim")
+        return left.groupBy("block", "grp").cogroup(right.groupBy("for_block", "in_grp")).applyInPandas(meet, schema)
+
+    names = asked.select("block").withColumn("floor", F.lit(None).cast("binary"))
+    seeds = materialize(search(names.join(F.broadcast(longest))), "seeds")  # one group for all blocks: one row
+
+    def floors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The k-th score of each query of a block, and the length from which a vector can add to one of them."""
+        for batch in batches:
+            for block, qids, data, dim, told in zip(batch["block"], batch["qids"], batch["q"], batch["qdim"], batch["told"], strict=True):
+                n = len(qids) // 8
+                norm = np.sqrt((np.frombuffer(data, dtype="<f8").reshape(-1, dim) ** 2).sum(axis=1))
+                floor = np.full(n, -np.inf)
+                for place, least in [] if told is None else [(t["place"], t["least"]) for t in told]:
+                    floor[place] = least
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    need = np.where(floor > 0, floor / norm, 0.0).min(initial=np.inf) * (1 - 1e-12)
+                yield pd.DataFrame({"block": [block], "floor": [floor.tobytes()], "need": [need]})
+
+    kth = seeds.groupBy("block", "place").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") >= k)
+    kth = kth.groupBy("block").agg(F.collect_list(F.struct("place", F.col("least").cast("double").alias("least"))).alias("told"))  # BLOCK entries at most
+    needs = materialize(asked.join(kth, "block", "left").mapInPandas(floors, "block string, floor binary, need double"), "thresholds")
+    # which block goes to which group: names and lengths alone, one row for BLOCK queries and one for BUCKET * group vectors
+    others = groups.join(longest, "grp", "left_anti")
+    cells = materialize(needs.join(others, F.col("top") >= F.col("need")).select("block", "grp", "floor"), "cells")
+    found = seeds.unionByName(search(cells))
+    order = Window.partitionBy("block", "place").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
