@@ -25,8 +25,8 @@ from tessera.llm.skew import spread_join
 from tessera.session import materialize
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.9995
-#: Hashes of a signature at most; classes of a part, on average; remembered word hashes of a worker.
-HASHES, CHUNK, MEMO = 160, 256, 400_000
+#: Hashes of a signature at most; classes of a part, on average.
+HASHES, CHUNK = 160, 256
 _ROLL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -40,25 +40,13 @@ def bands_and_rows(threshold: float = THRESHOLD, recall: float = RECALL, hashes:
     return best
 
 
-class _Hashes(dict):
-    def __missing__(self, word):
-        value = xxhash.xxh64_intdigest(word)
-        if len(self) >= MEMO:
-            self.clear()
-        self[word] = value
-        return value
-
-
-_hashes = _Hashes()
-
-
 def ngrams(text: str | None, n: int = N) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the n-grams of a text's words (lower case, cut at white space). A text of fewer words
     has one, of all of them; a text without words none."""
     words = (text or "").lower().split()
     if not words:
         return np.empty(0, dtype=np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
     size = min(n, len(words))
     with np.errstate(over="ignore"):
         out = h[: len(h) - size + 1].copy()
