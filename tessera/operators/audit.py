@@ -32,3 +32,24 @@ def slices(rows: DataFrame) -> DataFrame:
     }
     flags = F.array(*[F.when(F.expr(e), F.lit(k)) for k, e in named.items()])
     return rows.select("country", F.explode(F.array_compact(flags)).alias("slice")).groupBy("country", "slice").agg(F.count("*").alias("n"))
+
+
+def country_rates(rows: DataFrame, entities: DataFrame, flag: str) -> DataFrame:
+    """(country, records, flagged, per_1000): flagged pairs a thousand records of source 1. ``rows``: country and the flag;
+    ``entities``: country, one row a record."""
+    bad = rows.groupBy("country").agg(F.sum(F.col(flag).cast("long")).alias("flagged"))
+    n = entities.groupBy("country").agg(F.count("*").alias("records"))
+    return n.join(bad, "country", "left").na.fill(0, ["flagged"]).withColumn("per_1000", 1000.0 * F.col("flagged") / F.col("records"))
+
+
+def partition_effect(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row: pairs that giving each satellite one owner drops, and records that it leaves without any pair."""
+    dropped = before.join(after, ["s1", "s23"], "left_anti").agg(F.count("*").alias("dropped"))
+    emptied = before.select("s1").distinct().join(after, "s1", "left_anti").agg(F.count("*").alias("emptied"))
+    return dropped.crossJoin(F.broadcast(emptied))  # one row each
+
+
+def contested(rows: DataFrame) -> DataFrame:
+    """``rows`` (s1, s23, lead_eq) with whether any pair of the record has an equal lead number, and whether several records
+    claim the satellite."""
+    return rows.withColumn("some_lead_eq", F.max("lead_eq").over(Window.partitionBy("s1"))).withColumn("contested", F.count("*").over(Window.partitionBy("s23")) >= 2)

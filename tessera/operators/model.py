@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import logit
 from tessera.operators.context import score_context
+from tessera.operators.select import hard_negatives
 from tessera.session import materialize
 
 VALID, NEG_PER_POS, HARD_RANK = 0.1, 5, 5
@@ -45,6 +47,22 @@ class TwoPass:
     second: GBTClassificationModel
     isotonic: IsotonicRegressionModel
 
+    def save(self, path: str) -> None:
+        """The fitted parts and the feature list, in a folder that may lie in any store."""
+        for name, part in [("first0", self.first[0]), ("first1", self.first[1]), ("second", self.second), ("isotonic", self.isotonic)]:
+            part.write().overwrite().save(f"{path}/{name}")
+        SparkSession.getActiveSession().createDataFrame([(self.features,)], "features array<string>").write.mode("overwrite").json(f"{path}/meta")
+
+    @classmethod
+    def load(cls, path: str) -> TwoPass:
+        features = SparkSession.getActiveSession().read.schema("features array<string>").json(f"{path}/meta").first().features
+        first = [GBTClassificationModel.load(f"{path}/first{k}") for k in (0, 1)]
+        return cls(list(features), first, GBTClassificationModel.load(f"{path}/second"), IsotonicRegressionModel.load(f"{path}/isotonic"))
+
+    def importances(self) -> list[tuple[str, float]]:
+        """(feature, gain share) of the second pass, largest first."""
+        return sorted(zip([*self.features, *P1], self.second.featureImportances.toArray().tolist(), strict=True), key=lambda x: (-x[1], x[0]))
+
 
 def _fit(rows: DataFrame, features: list[str], trees: int, depth: int) -> GBTClassificationModel:
     return GBTClassifier(labelCol="label", featuresCol="x", maxIter=trees, maxDepth=depth, subsamplingRate=0.8, seed=42, stepSize=0.1).fit(VectorAssembler(inputCols=features, outputCol="x").transform(rows))
@@ -98,3 +116,31 @@ def stack(rows: DataFrame, c: float = 1.0) -> DataFrame:
         model = LogisticRegression(featuresCol="x", labelCol="label", regParam=1.0 / (c * max(part.count(), 1)), elasticNetParam=0.0, standardization=False).fit(part)
         out.append(_score(model, made.where(F.col("__fold") == k), columns, "stacked"))
     return out[0].unionByName(out[1]).drop("__fold", "logit_p")
+
+
+def fit_entities(entities: DataFrame, most: int) -> DataFrame:
+    """At most so many TRAIN entities (s1, role), the first of a seeded draw."""
+    return entities.where("role = 'TRAIN'").orderBy(uniform(F.col("s1"), 17), "s1").limit(most)
+
+
+def rescored(rows: DataFrame, scorer, text: str = "text", out: str = "logit_other") -> DataFrame:
+    """``rows`` with the logits of any pair scorer: ``scorer`` gives a list of numbers for a list of texts, and is called
+    batch by batch on the workers."""
+
+    @F.pandas_udf("double")
+    def scored(texts: pd.Series) -> pd.Series:
+        return pd.Series(scorer(texts.tolist()), dtype="float64")
+
+    return rows.withColumn(out, scored(F.col(text)))
+
+
+def export_pairs(rows: DataFrame, most: int = 3) -> DataFrame:
+    """Training pairs of a pair scorer: the grey zone of CAL, and of TRAIN the matches with ``most`` hard negatives a record.
+    ``rows``: s1, s23, p, label, role, prescore."""
+    train = rows.where("role = 'TRAIN'")
+    return grey(rows.where("role = 'CAL'")).unionByName(train.where("label = 1")).unionByName(hard_negatives(train, most))
+
+
+def best_variant(scores: dict[str, float]) -> str:
+    """The name of the highest score; of equal ones the first."""
+    return max(scores, key=scores.get)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -33,3 +33,23 @@ def findings(rows: DataFrame, required: DataFrame, known: DataFrame | None = Non
     if candidates is not None:
         out.append(_finding("not_a_candidate", "warning", ids.join(candidates, ["s1", "s23"], "left_anti").select(F.concat_ws(" ", "s1", "s23").alias("example"))))
     return reduce(DataFrame.unionByName, out)
+
+
+def file_findings(spark: SparkSession, path: str, header: tuple[str, str] = ("source1_entity_id", "matched_entity_ids")) -> DataFrame:
+    """(rule, severity, n) of what is wrong with a file as such: bytes that are no UTF-8, another header, commas for tabs,
+    rows without a tab. Lines are read as bytes, and none is gathered but the header."""
+    lines = spark.read.text(path).select(F.col("value").cast("binary").alias("raw"), F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"))
+    # each file's first line is its header; a replacement character shows bytes that don't decode
+    text = F.decode("raw", "UTF-8")
+    rows = lines.select("file", "at", F.rtrim(text).alias("line"), (text.contains("\ufffd") | (F.encode(text, "UTF-8") != F.col("raw"))).alias("broken"))
+    heads = rows.groupBy("file").agg(F.min(F.struct("at", "line")).alias("h")).select("file", "h.at", F.col("h.line").alias("line"))
+    body = rows.join(heads.select("file", "at"), ["file", "at"], "left_anti")
+    wanted = "\t".join(header)
+    found = [
+        ("not_utf8", rows.where("broken")),
+        ("header", heads.where(F.col("line") != wanted)),
+        ("csv_not_tsv", heads.where(F.col("line") == ",".join(header))),
+        ("malformed_row", body.where((F.col("line") != "") & (F.size(F.split("line", "\t")) > 2) | ((F.col("line") != "") & ~F.col("line").contains("\t") & ~F.col("line").rlike("^S1-[0-9]+$")))),
+    ]
+    parts = [bad.agg(F.count("*").alias("n")).where("n > 0").select(F.lit(rule).alias("rule"), F.lit("error").alias("severity"), "n") for rule, bad in found]
+    return reduce(DataFrame.unionByName, parts)

@@ -9,21 +9,49 @@ from tessera.operators import blocking, decide, features, model
 from tessera.operators.context import group_stats
 from tessera.session import materialize
 
-NUMERIC = ["sq_prefix", "core_jacc", "core_contain", "acronym", "sfx_compat", "num_jacc", "num_contain", "lead_eq", "lead_in", "num_near", "addr_jacc", "sq_prefix_frac", "name_len_diff", "name_ntok_diff", "n_keys", "prescore", "pre_rank", "pre_margin", "n_cand", "name_ratio", "name_tset", "core_ratio", "sq_ratio", "sq_jw", "addr_ratio", "addr_tset", "num_tset"]
+#: The 66 features of the first pass.
+NUMERIC = [
+    *("name_ratio", "name_partial", "name_tsort", "name_tset", "core_ratio", "core_tset", "sq_ratio", "sq_partial", "sq_jw", "sq_lcs", "sq_prefix", "phon_ratio", "addr_ratio", "addr_partial", "addr_tsort", "addr_tset", "num_tset"),
+    *("core_jacc", "core_contain", "acronym", "sfx_compat", "num_jacc", "num_contain", "lead_eq", "lead_in", "num_near", "addr_jacc", "idf_cov_a", "idf_cov_b", "idf_shared_sum", "idf_shared_max"),
+    *("sq_prefix_frac", "name_len_diff", "name_ntok_diff", "addr_ntok_a", "addr_ntok_b", "n_nums_a", "n_nums_b", "b_is_domain", "b_non_latin", "b_addr_empty", "b_src"),
+    *(f"k{i}" for i in range(1, 8)), *("n_keys", "prescore", "ann_sim", "pre_rank", "n_cand", "pre_margin", "pre_rev_rank", "n_comp"),
+    *("nidf_shared_sum", "nidf_shared_max", "nidf_cov_a", "nidf_cov_b", "nidf_miss_max_a", "nidf_miss_max_b", "sq_n_s1_a", "sq_n_s1_b", "sq_n_s23_b"),
+]
+ANN_K = 30
 
 
-def candidate_table(signed: DataFrame, cap: int = blocking.MAX_BLOCK, k: int = blocking.MAX_CANDIDATES) -> DataFrame:
+def with_neighbours(pairs: DataFrame, near: DataFrame) -> DataFrame:
+    """Candidates (s1, s23, kbits) and nearest names (s1, s23, sim) as one table with ``ann_sim``, 0 where K5 did not find
+    the pair; bits are joined, and of several similarities the largest stays."""
+    found = pairs.select("s1", "s23", "kbits", F.lit(0.0).alias("sim")).unionByName(near.select("s1", "s23", F.lit(blocking.K5).alias("kbits"), "sim"))
+    return found.groupBy("s1", "s23").agg(F.bit_or("kbits").alias("kbits"), F.max("sim").alias("ann_sim"))
+
+
+def candidate_table(signed: DataFrame, cap: int = blocking.MAX_BLOCK, k: int = blocking.MAX_CANDIDATES, ann_k: int = ANN_K) -> DataFrame:
+    """The best ``k`` candidates of each record by pre-score, from all seven keys."""
     rare = blocking.rare_words(signed, blocking.idf(signed))
-    pairs = blocking.candidates(blocking.keys(signed, rare, 0x7F & ~blocking.K5), cap)
+    emitted = materialize(blocking.keys(signed, rare, 0x7F & ~blocking.K5), "keys")
+    text = F.concat_ws(" ", "name_c", F.array_join("addr", " "), F.array_join("nums", " "))
+    of = lambda c: signed.where(c).select("entity_id", "country", text.alias("text"))
+    pairs = with_neighbours(blocking.candidates(emitted, cap), blocking.trigram_top_k(of("src = 1"), of("src <> 1"), ann_k))
     return blocking.top_k(blocking.prescore(pairs, signed), "s1", "prescore", "s23", k).drop("rank")
 
 
 def feature_table(pairs: DataFrame, signed: DataFrame) -> DataFrame:
-    """Everything the classifier reads, and the record's competition by pre-score."""
+    """Everything the classifier reads: forms, rarity of shared words, and the competition of both sides by pre-score."""
     rows = features.fuzzy(features.native(features.attach(pairs, signed)))
     rows = rows.drop(*[f"{p}_{c}" for p in "ab" for c in features.FORMS if f"{p}_{c}" not in ("b_is_domain", "b_non_latin", "b_addr_empty", "b_src", "a_addr_empty")])
-    rows = group_stats(rows, "s1", "prescore", "s23", "__g")
-    return rows.withColumnsRenamed({"__g_rank": "pre_rank", "__g_margin": "pre_margin", "__g_n": "n_cand"}).drop("__g_sum", "__g_above")
+    rows = features.rarity(rows, signed, blocking.idf(signed), "addr", "idf")
+    rows = features.rarity(rows, signed, blocking.idf(signed, "core"), "core", "nidf")
+    return candidate_context(features.squash_counts(rows, signed))
+
+
+def candidate_context(rows: DataFrame, score: str = "prescore") -> DataFrame:
+    """``rows`` with each pair's place among its record's pairs (pre_rank, n_cand, pre_margin) and among its satellite's
+    (pre_rev_rank, n_comp)."""
+    rows = group_stats(group_stats(rows, "s1", score, "s23", "__a"), "s23", score, "s1", "__b")
+    rows = rows.withColumnsRenamed({"__a_rank": "pre_rank", "__a_margin": "pre_margin", "__a_n": "n_cand", "__b_rank": "pre_rev_rank", "__b_n": "n_comp"})
+    return rows.drop("__a_sum", "__a_above", "__b_margin", "__b_sum", "__b_above")
 
 
 def link(signed: DataFrame, truth: DataFrame, tau: float = 0.5, mode: str = "partition", cap: int = blocking.MAX_BLOCK, trees: int = 10) -> DataFrame:

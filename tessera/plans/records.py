@@ -9,17 +9,21 @@ from tessera.functions import text as T
 
 #: Words that count as legal forms among the records made of documents.
 LEGAL = ["the", "of", "and", "le", "la", "der", "die", "el"]
+#: Words of a document that make the name, and those after them that make the address.
+NAME, ADDRESS = 5, 12
 
 
 def from_documents(docs: DataFrame) -> DataFrame:
-    """A language plays the country; the first five words are the name, the next twelve and a number the address."""
-    rows = docs.select("doc_id", "lang", "n_chars", T.ascii_tokens(F.col("text")).alias("w")).where(F.size("w") >= 1)
+    """A language plays the country; the first five words are the name, the next twelve and a number the address. A record
+    holds no more, so only the text up to its 17th word is cut into words."""
+    head = F.regexp_extract(F.lower("text"), f"^[^0-9a-z]*+(?:[0-9a-z]++[^0-9a-z]*+){{0,{NAME + ADDRESS}}}", 0)
+    rows = docs.select("doc_id", "lang", "n_chars", T.ascii_tokens(head).alias("w")).where(F.size("w") >= 1)
     return rows.select(
         F.col("doc_id").alias("entity_id"),
         F.col("lang").alias("country"),
         (F.col("doc_id") % 3 + 1).cast("int").alias("src"),
-        F.array_join(F.slice("w", 1, 5), " ").alias("business_name"),
-        F.concat(F.array_join(F.slice("w", 6, 12), " "), F.lit(" "), F.expr("n_chars div 100").cast("string")).alias("business_address"),
+        F.array_join(F.slice("w", 1, NAME), " ").alias("business_name"),
+        F.concat(F.array_join(F.slice("w", NAME + 1, ADDRESS), " "), F.lit(" "), F.expr("n_chars div 100").cast("string")).alias("business_address"),
     )
 
 
