@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import worker
 from tessera.llm.skew import least_hashed
 from tessera.session import materialize
 
@@ -174,7 +175,7 @@ class Tagger:
     def __call__(self, text: str | None) -> tuple[float, list[dict]]:
         """Score and spans (code point offsets, end exclusive, largest marginal)."""
         words = WORD.findall(text or "")
-        if not words:
+        if not words or not self.ids:  # a model that has learned no word tells nothing
             return 0.0, []
         get = self.ids.get
         p = self.marginals([get(w, 0) for w in map(str.lower, words)])
@@ -222,6 +223,7 @@ def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
 
     @F.pandas_udf("score double, spans array<struct<start:int,end:int,p:double>>")
     def scored(texts: pd.Series) -> pd.DataFrame:
+        worker.use("toxicity")
         return pd.DataFrame([of(t) for t in texts], columns=["score", "spans"])
 
     out = docs.drop("score", "spans", "predicted").withColumn("__tox", scored(F.col(text))).select("*", "__tox.score", "__tox.spans").drop("__tox")

@@ -73,19 +73,18 @@ def test_crf_marginals_and_scores(spark):
     tag = toxicity.Tagger(made)
     score, spans = tag("w1 w2, ROTTEN vile w3")
     assert score >= 0.7 and [(s["start"], s["end"]) for s in spans] == [(7, 18)]
-    # marginals against the sum over all labellings
-    ids = [0, 1, 0, 0, 2, 0]
-    p = tag.marginals([1, 4], [1, 2], len(ids))
-    mass, on = 0.0, [0.0, 0.0]
-    for y in range(1 << len(ids)):
-        bits = [y >> k & 1 for k in range(len(ids))]
-        w = np.prod([tag.emit[i] if b else 1.0 for i, b in zip(ids, bits, strict=True)]) * np.prod([tag.step[a][b] for a, b in zip(bits, bits[1:], strict=False)])
-        mass += w
-        on = [on[0] + w * bits[1], on[1] + w * bits[4]]
-    assert p == pytest.approx([on[0] / mass, on[1] / mass], rel=1e-6)
+    # marginals of all words against the sum over all labellings, with words of the lexicon at the ends, apart and side by side
+    for ids in ([0, 1, 0, 0, 2, 0], [1], [0], [1, 2, 0, 0, 0, 1], [0, 0, 0], [2, 0, 1, 1, 0, 2]):
+        mass, on = 0.0, np.zeros(len(ids))
+        for y in range(1 << len(ids)):
+            bits = [y >> k & 1 for k in range(len(ids))]
+            w = np.prod([tag.emit[i] if b else 1.0 for i, b in zip(ids, bits, strict=True)]) * np.prod([tag.step[a][b] for a, b in zip(bits, bits[1:], strict=False)])
+            mass += w
+            on += w * np.array(bits)
+        assert tag.marginals(ids) == pytest.approx(on / mass, rel=1e-6)
     df = spark.createDataFrame([(1, "a vile day"), (2, None), (3, ""), (4, "w1 " * 20_000)], "doc_id long, text string")
     assert {r.doc_id: r.predicted for r in toxicity.score(df, made).collect()} == {1: 1, 2: 0, 3: 0, 4: 0}
-    empty = toxicity.train(spark.createDataFrame([], "doc_id long, text string, toxic int"))
+    empty = toxicity.train(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, toxic int"))
     assert [r.score for r in toxicity.score(df, empty).collect()] == [0.0] * 4
 
 
