@@ -9,22 +9,36 @@ both tables are made anew with more cells.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PIECE = 512
 #: Cells of a subtable at least, and at most.
-LEAST, MOST = 8, 1 << 20
-#: Peeling rounds of an attempt; each attempt has so many times the cells of the last.
-ROUNDS, GROWTH = 16, 4
-ATTEMPTS = 3
+LEAST, MOST = 8, 1 << 24
+#: Peeling rounds of an attempt; cells of the attempts after the first, times the digests of both texts. Attempts fail where
+#: digests share their cells in all three subtables: of two digests in 8 cells one pair in 512 does, at the last attempt none in 2^39.
+ROUNDS, LARGER = 16, (1, 4, 4096)
+#: Characters of a range of documents, on average; ranges at most.
+RANGE_CHARS, RANGES = 1 << 24, 1 << 16
 
 
 def keys_of(text: Column) -> Column:
     """Sorted array of the digests of a text's paragraphs, the n-th copy of one told from the first."""
     pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"[^\n]{{1,{PIECE}}}"), F.lit(0))
     ordered = F.sort_array(F.transform(pieces, lambda x: F.xxhash64(x)))
-    return _let(ordered, lambda a: F.transform(a, lambda x, i: F.xxhash64(x, i + 1 - F.array_position(a, x))))
+
+    def first(a: Column, x: Column) -> Column:
+        """Where x first stands in the sorted array, from 0, by halving."""
+        half = lambda s: F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        step = lambda s, _: F.when(s["lo"] >= s["hi"], s).when(F.get(a, half(s)) < x, F.struct((half(s) + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), half(s).alias("hi")))
+        steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(a).cast("double") + 1)).cast("int"))
+        return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(a).alias("hi")), step, lambda s: s["lo"])
+
+    alone = lambda a: F.transform(a, lambda x: F.xxhash64(x, F.lit(0).cast("long")))
+    told = lambda a: F.transform(a, lambda x, i: F.xxhash64(x, (i - first(a, x)).cast("long")))
+    return _let(ordered, lambda a: F.when(F.size(F.array_distinct(a)) == F.size(a), alone(a)).otherwise(told(a)))
 
 
 def _let(value: Column, body) -> Column:
@@ -108,9 +122,9 @@ def with_comparison(rows: DataFrame, one: str, other: str, out: str, cells: str,
     a, b = F.col(one), F.col(other)
     rows = rows.withColumn("__there", table(b, F.col(m)))
     rows = rows.withColumn("__diff", difference(F.col(cells), F.col("__there"))).withColumn(out, peel(F.col("__diff"), F.col(m)))
-    for attempt in range(1, ATTEMPTS):
+    for times in LARGER:
         failed = F.col(f"{out}.left") > 0
-        room = F.greatest(F.col(m), cells_for((F.size(a) + F.size(b)).cast("double"))) * GROWTH ** (attempt - 1)
+        room = F.greatest(F.col(m), cells_for((F.size(a) + F.size(b)).cast("double"))) * times
         rows = rows.withColumn("__m", F.least(room, F.lit(MOST).cast("long")))
         rows = rows.withColumn("__here", F.when(failed, table(a, F.col("__m")))).withColumn("__there", F.when(failed, table(b, F.col("__m"))))
         rows = rows.withColumn("__diff", difference(F.col("__here"), F.col("__there")))
@@ -118,13 +132,13 @@ def with_comparison(rows: DataFrame, one: str, other: str, out: str, cells: str,
     return rows.drop("__here", "__there", "__diff", "__m")
 
 
-def likeness(one_keys: Column, other_keys: Column, found: Column) -> Column:
-    """Share of the paragraphs of either text that both have; 1 for two empty texts."""
-    both = F.size(one_keys) - F.size(found["first"])
+def likeness(cells: Column, m: Column, found: Column) -> Column:
+    """Share of the paragraphs of either text that both have; 1 for two empty texts. How many the first has is the sum of
+    the counts in a subtable; what only one has is what peeling recovered."""
+    own = F.aggregate(F.slice(cells, F.lit(1), m.cast("int")), F.lit(0), lambda s, c: s + c["c"])
+    both = own - F.size(found["first"])
     every = both + F.size(found["first"]) + F.size(found["second"])
-    told = F.when(every == 0, 1.0).otherwise(both / every)
-    exact = F.size(F.array_intersect(one_keys, other_keys)) / F.size(F.array_union(one_keys, other_keys))  # of what no attempt could peel
-    return F.when(found["left"] == 0, told).otherwise(exact)
+    return F.when(every == 0, 1.0).otherwise(F.least(F.greatest(both / every, F.lit(0.0)), F.lit(1.0)))
 
 
 def as_text(cells: Column, m: Column) -> Column:
@@ -135,13 +149,12 @@ def as_text(cells: Column, m: Column) -> Column:
 
 def with_next(docs: DataFrame, key: str, carried: list[str], buckets: int) -> DataFrame:
     """``docs`` with ``next``, a struct of ``carried`` of the row that follows by ``key`` (nulls first, ties by hash of the
-    row); after the last comes the first. Rows are dealt into ranges of the key by quantiles, whose count doesn't grow with
-    the data; the first row of a range is also put at the end of the one before it, so no order spans two tasks."""
+    row); after the last comes the first. Rows are dealt into ranges of the key by quantiles; the first row of a range is also put at the end of the one before it, so no order spans two tasks."""
     docs = docs.withColumn("__k", F.coalesce(F.col(key), F.lit(-(2**63))).cast("long"))
-    steps = docs.select(F.percentile_approx("__k", [i / buckets for i in range(1, buckets)], 10_000).alias("q")).first().q or []
+    steps = docs.select(F.percentile_approx("__k", [i / buckets for i in range(1, buckets)], max(10_000, 4 * buckets)).alias("q")).first().q or []
     cuts = sorted(set(steps))
     if cuts:
-        lit = F.array(*[F.lit(c).cast("long") for c in cuts])
+        lit = F.from_json(F.lit(json.dumps(cuts)), "array<bigint>")  # a constant; from JSON, as literals are slow to put together
         half = lambda s: F.floor((s["lo"] + s["hi"]) / 2).cast("int")
         step = lambda s, _: F.when(s["lo"] >= s["hi"], s).otherwise(F.when(F.element_at(lit, half(s) + 1) < F.col("__k"), F.struct((half(s) + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), half(s).alias("hi"))))
         docs = docs.withColumn("__b", F.aggregate(F.sequence(F.lit(1), F.lit(len(cuts).bit_length() + 1)), F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi")), step, lambda s: s["lo"]))
@@ -155,9 +168,18 @@ def with_next(docs: DataFrame, key: str, carried: list[str], buckets: int) -> Da
     return rows.withColumn("next", F.lead(F.struct(*carried)).over(order)).where("__tail = 0").drop("__k", "__b", "__tail")
 
 
-def edited_pairs(docs: DataFrame, buckets: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+def ranges_for(docs: DataFrame, text: str = "text") -> int:
+    """Ranges of about RANGE_CHARS characters."""
+    chars = docs.agg(F.sum(F.length(text).cast("long"))).first()[0] or 0
+    return min(RANGES, max(16, -(-chars // RANGE_CHARS)))
+
+
+def edited_pairs(docs: DataFrame, buckets: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document with its fingerprint and that of its edited text: the last half of the characters (rounded
-    down) replaced by as many of the next document's first ones. Null texts are empty; a lone document follows itself."""
+    down) replaced by as many of the next document's first ones. Null texts are empty; a lone document follows itself; rows
+    that repeat an id follow each other by a hash of the text. ``peeled`` says that both differences came out whole; where a
+    cell is left after the largest attempt, what was recovered counts. Other columns don't matter."""
+    buckets = buckets or ranges_for(docs, text)
     rows = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = with_next(rows.withColumn("keys", keys_of(F.col("text"))), key, ["text", "keys"], buckets)
     half = F.floor(F.length("text") / 2).cast("int")
@@ -172,6 +194,7 @@ def edited_pairs(docs: DataFrame, buckets: int, key: str = "doc_id", text: str =
         F.sha2("edited", 256).alias("edited_sha256"),
         as_text(F.col("cells"), F.col("m")).alias("fingerprint"),
         as_text(F.col("ecells"), F.col("em")).alias("edited_fingerprint"),
-        likeness(F.col("keys"), F.col("edited_keys"), F.col("to_edited")).alias("near_edited"),
-        likeness(F.col("keys"), F.col("next_keys"), F.col("to_next")).alias("near_next"),
+        likeness(F.col("cells"), F.col("m"), F.col("to_edited")).alias("near_edited"),
+        likeness(F.col("cells"), F.col("m"), F.col("to_next")).alias("near_next"),
+        ((F.col("to_edited.left") == 0) & (F.col("to_next.left") == 0)).alias("peeled"),
     )

@@ -61,8 +61,7 @@ def op8_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return fingerprint.edited_pairs(read_table(spark, sf_dir, "documents"), min(buckets, 4096))
+    return fingerprint.edited_pairs(read_table(spark, sf_dir, "documents"))
 
 
 #: Weight of a document by its quality label; unlabelled ones stand between.
