@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import worker
+
 #: Pre-tokens, and space-delimited chunks, whose ids a worker keeps; beyond it the older half goes.
 CACHE_ENTRIES = 300_000
 #: Rows of an output batch.
@@ -181,6 +183,14 @@ def codec(path: str, pattern: str) -> BpeCodec:
     return _codecs[path, pattern]
 
 
+def forget() -> None:
+    """Drop the ids that this worker's codecs remember."""
+    for c in _codecs.values():
+        for memo in (c.piece_ids, c.chunk_ids):
+            memo.clear()
+            memo.old = {}
+
+
 def encode_column(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: list[str] | None = None, with_ids: bool = True) -> DataFrame:
     """Rows of ``keep`` (default: all columns but the text), with ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and, if
     asked, ``ids``. One narrow pass, no shuffle; null texts count as empty, repeated rows come out repeated. Columns of
@@ -191,6 +201,7 @@ def encode_column(docs: DataFrame, path: str, pattern: str, text: str = "text",
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]] + ["n_tokens long, ids_sha256 string, decoded_sha256 string"] + ["ids array<int>"] * with_ids)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        worker.use("bpe", forget)
         bpe = codec(path, pattern)
         names = bpe.text_of.__getitem__
         for batch in batches:

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm import worker
 from tessera.llm.skew import least_hashed
 from tessera.session import materialize
 
@@ -107,6 +108,7 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text"
 
     @F.pandas_udf("lang_pred string, score double")
     def predicted(texts: pd.Series) -> pd.DataFrame:
+        worker.use("langid")
         return pd.DataFrame([of(t) for t in texts], columns=["lang_pred", "score"])
 
     of = _Lazy(profiles, size)

@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import worker
 from tessera.llm.graph import connected_components
 from tessera.llm.skew import spread_join
 from tessera.session import materialize
@@ -77,6 +78,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
 
     @F.pandas_udf("key binary, bands array<long>")
     def signed(texts: pd.Series) -> pd.DataFrame:
+        worker.use("ngramjoin")
         rng = np.random.default_rng(20240101)
         a = rng.integers(0, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         b = rng.integers(0, 2**63, bands * rows, dtype=np.uint64)
