@@ -19,9 +19,11 @@ from tessera.session import materialize, read_table
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in none of the learned languages go: those without a letter, and those that are as far from
-    every profile as unrelated text is. The profiles are learned from the stage's own input."""
+    every profile as unrelated letters are. The profiles are learned from the stage's own input. A document without a language
+    gets the predicted one."""
     told = langid.identify(docs, langid.learn_profiles(docs))
-    return told.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") > langid.REJECT_AT)).select(*docs.columns)
+    kept = told.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") > langid.REJECT_AT))
+    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,10 +33,14 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of least id stays."""
-    told = ngramjoin.join(docs.select("doc_id", "text"))
-    gone = materialize(told.where("class_id <> doc_id").select("doc_id").distinct(), "copies")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near copies one row stays: of the document of least id, the one of least row key. Rows are told apart
+    by id and text, so of an id with two texts one may go; of rows that repeat both one stays."""
+    told = materialize(ngramjoin.join_rows(docs).select("uid", (F.col("uid") != F.col("class_uid")).alias("copy")), "classes")
+    again = materialize(told.where("not copy").groupBy("uid").agg(F.count("*").alias("n")).where("n > 1").select("uid"), "repeated")
+    gone = materialize(told.where("copy").select("uid").unionByName(again).distinct(), "copies")
+    rows = docs.withColumn("uid", ngramjoin.row_key())
+    once = rows.join(again, "uid", "left_semi").dropDuplicates(["uid"])
+    return rows.join(gone, "uid", "left_anti").unionByName(once.select(*rows.columns)).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
