@@ -32,7 +32,7 @@ REJECT_AT = 0.3
 @cache
 def _letters() -> np.ndarray:
     """For each code point: 1 (the boundary) if it's no letter, else itself plus 1."""
-    return np.array([c + 1 if chr(c).isalpha() else 1 for c in range(sys.maxunicode + 1)], dtype=np.int64)
+    return np.fromiter((c + 1 if chr(c).isalpha() else 1 for c in range(sys.maxunicode + 1)), dtype=np.int64, count=sys.maxunicode + 1)
 
 
 def ngrams(text: str) -> np.ndarray:

@@ -5,12 +5,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
+
 _held: dict[str, Callable[[], None]] = {}
 
 
 def use(operator: str, forget: Callable[[], None] | None = None) -> None:
     """To be called where an operator begins to work on a batch: whatever other operators hold in this worker goes.
-    ``forget`` drops what this one holds."""
+    ``forget`` drops what this one holds. Memory of earlier batches goes back to the system."""
+    pa.default_memory_pool().release_unused()
     for other in [o for o in _held if o != operator]:
         _held.pop(other)()
     if forget:
