@@ -38,10 +38,9 @@ def findings(rows: DataFrame, required: DataFrame, known: DataFrame | None = Non
 def file_findings(spark: SparkSession, path: str, header: tuple[str, str] = ("source1_entity_id", "matched_entity_ids")) -> DataFrame:
     """(rule, severity, n) of what is wrong with a file as such: bytes that are no UTF-8, another header, commas for tabs,
     rows without a tab. Lines are read as bytes, and none is gathered but the header."""
-    lines = spark.read.text(path).select(F.col("value").cast("binary").alias("raw"), F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"))
-    # each file's first line is its header; a replacement character shows bytes that don't decode
-    text = F.decode("raw", "UTF-8")
-    rows = lines.select("file", "at", F.rtrim(text).alias("line"), (text.contains("\ufffd") | (F.encode(text, "UTF-8") != F.col("raw"))).alias("broken"))
+    lines = spark.read.text(path).select("value", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"))
+    # each file's first line is its header
+    rows = lines.select("file", "at", F.rtrim(F.make_valid_utf8("value")).alias("line"), (~F.is_valid_utf8("value")).alias("broken"))
     heads = rows.groupBy("file").agg(F.min(F.struct("at", "line")).alias("h")).select("file", "h.at", F.col("h.line").alias("line"))
     body = rows.join(heads.select("file", "at"), ["file", "at"], "left_anti")
     wanted = "\t".join(header)
