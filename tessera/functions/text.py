@@ -10,14 +10,25 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Latin letters for the common layout of the Indic blocks, by the low seven bits of the code point.
-CONSONANTS = dict(zip(range(0x15, 0x3A), "k kh g gh n ch chh j jh n t th d dh n t th d dh n n p f b bh m y r r l l l v sh sh s h".split(), strict=True))
-SIGNS = {0x01: "n", 0x02: "n", 0x03: "h", 0x4E: "t", 0x70: "n", 0x7A: "n", 0x7B: "n", 0x7C: "r", 0x7D: "l", 0x7E: "l", 0x7F: "k"}
-VOWELS = dict(zip(range(0x05, 0x15), "a a i i u u ri li e e e ai o o o au".split(), strict=True)) | dict(zip(range(0x3E, 0x4D), "a i i u u ri ri e e e ai o o o au".split(), strict=True))
-DIGITS = {0x66 + d: str(d) for d in range(10)}
+# Fixed values, which must be these for right results: Latin letters for the common layout of the Indic blocks, by the low
+# seven bits of the code point, and the range of the consonants among them.
+_LETTERS = {
+    0x01: "n", 0x02: "n", 0x03: "h", 0x05: "a", 0x06: "a", 0x07: "i", 0x08: "i", 0x09: "u", 0x0A: "u", 0x0B: "ri",
+    0x0C: "li", 0x0D: "e", 0x0E: "e", 0x0F: "e", 0x10: "ai", 0x11: "o", 0x12: "o", 0x13: "o", 0x14: "au", 0x15: "k",
+    0x16: "kh", 0x17: "g", 0x18: "gh", 0x19: "n", 0x1A: "ch", 0x1B: "chh", 0x1C: "j", 0x1D: "jh", 0x1E: "n", 0x1F: "t",
+    0x20: "th", 0x21: "d", 0x22: "dh", 0x23: "n", 0x24: "t", 0x25: "th", 0x26: "d", 0x27: "dh", 0x28: "n", 0x29: "n",
+    0x2A: "p", 0x2B: "f", 0x2C: "b", 0x2D: "bh", 0x2E: "m", 0x2F: "y", 0x30: "r", 0x31: "r", 0x32: "l", 0x33: "l",
+    0x34: "l", 0x35: "v", 0x36: "sh", 0x37: "sh", 0x38: "s", 0x39: "h", 0x3E: "a", 0x3F: "i", 0x40: "i", 0x41: "u",
+    0x42: "u", 0x43: "ri", 0x44: "ri", 0x45: "e", 0x46: "e", 0x47: "e", 0x48: "ai", 0x49: "o", 0x4A: "o", 0x4B: "o",
+    0x4C: "au", 0x4E: "t", 0x66: "0", 0x67: "1", 0x68: "2", 0x69: "3", 0x6A: "4", 0x6B: "5", 0x6C: "6", 0x6D: "7",
+    0x6E: "8", 0x6F: "9", 0x70: "n", 0x7A: "n", 0x7B: "n", 0x7C: "r", 0x7D: "l", 0x7E: "l", 0x7F: "k",
+}
+CONSONANTS = range(0x15, 0x3A)
+# Top-level domains, the pattern of a domain name, and the patterns of a canonical text.
 TLDS = ["www", "com", "net", "org", "in", "co", "fr", "biz", "info", "us", "io"]
 DOMAIN = r"(?iU)^\s*(www\.)?[\w-]+\.(com|net|org|in|co|fr|biz|info|us|io)\b"
-_LETTERS = CONSONANTS | SIGNS | VOWELS | DIGITS
+NOT_A_WORD = r"[^0-9a-z\s]"
+BETWEEN_INITIALS = r"(?<=\b\w) (?=\w\b)"
 _INDIC = re.compile("[\u0900-\u0D7F]+")
 
 
@@ -32,11 +43,16 @@ def romanise(text: str) -> str:
     return _INDIC.sub(run, text)
 
 
+def _without_accents(text: str) -> str:
+    return "".join(c for c in text if not "\u0300" <= c <= "\u036F")
+
+
 def canon_text(text: str) -> str:
     """Lower-case ASCII words: accents off, Indic romanised, ``&`` spelled out, runs of single letters joined."""
-    plain = "".join(c for c in romanise(unicodedata.normalize("NFKD", text)) if not "̀" <= c <= "ͯ").lower().replace("&", " and ")
-    plain = unicodedata.normalize("NFKD", plain).encode("ascii", "ignore").decode()
-    return re.sub(r"(?<=\b\w) (?=\w\b)", "", " ".join(re.sub(r"[^0-9a-z\s]", " ", plain).split()))
+    latin = _without_accents(romanise(unicodedata.normalize("NFKD", text)))
+    ascii_only = unicodedata.normalize("NFKD", latin.lower().replace("&", " and ")).encode("ascii", "ignore").decode()
+    words = re.sub(NOT_A_WORD, " ", ascii_only).split()
+    return re.sub(BETWEEN_INITIALS, "", " ".join(words))
 
 
 @F.pandas_udf(StringType())
