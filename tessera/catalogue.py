@@ -155,7 +155,8 @@ def _jaro(s, d):
     pairs = _pairs(s, d)
     name = _signed(s, d).select("entity_id", "name_c", F.array_join("addr", " ").alias("a"))
     rows = pairs.join(name.toDF("s1", "n1", "a1"), "s1").join(name.toDF("s23", "n2", "a2"), "s23")
-    return rows.select("s1", "s23", F.round(similarity.jaro_winkler_udf("a1", "a2"), 6).alias("addr_jw"), F.levenshtein("a1", "a2").alias("addr_edit"))
+    none = (F.col("a1") == "") & (F.col("a2") == "")  # DuckDB's SQL has 0 for two empty texts, the function 1
+    return rows.select("s1", "s23", F.when(none, 0.0).otherwise(F.round(similarity.jaro_winkler_udf("a1", "a2"), 6)).alias("addr_jw"), F.levenshtein("a1", "a2").alias("addr_edit"))
 
 
 def _labelled(s, d):
