@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import trigrams
 from tessera.functions.similarity import phonetic, ratio_udf, token_set_udf
 from tessera.session import materialize
 
@@ -82,42 +83,41 @@ def top_k(df: DataFrame, group: str, score: str, tie: str, k: int = MAX_CANDIDAT
     return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def trigram_top_k(left: DataFrame, right: DataFrame, k: int = 30, most: int = 1000) -> DataFrame:
-    """(s1, s23, sim): the k nearest by cosine of tf-idf weighted character trigrams (those on two records of ``right`` at
-    least) within a country, exact, by an inverted index. Trigrams on more than ``most`` records make large blocks, so the
-    others are joined first. What they sum up to is a lower bound of each cosine, and what the frequent ones can add is
-    bounded by the lengths of both vectors' frequent parts: pairs that cannot reach the k-th lower bound are left, and only
-    records whose frequent part alone could reach it meet all others by it. Inputs: entity_id, country, text."""
-
-    def grams(df: DataFrame) -> DataFrame:
-        padded = F.concat(F.lit(" "), F.col("text"), F.lit(" "))
-        cut = F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - 2, F.lit(1))), lambda i: F.substring(padded, i, F.lit(3)))
-        return df.select("entity_id", "country", F.explode(cut).alias("g")).groupBy("entity_id", "country", "g").agg((1 + F.log(F.count("*"))).alias("tf"))
-
-    a, b = grams(left), grams(right)
-    df = b.groupBy("country", "g").agg(F.count("*").alias("df")).where("df >= 2")
+def _texts(side: DataFrame, most: int) -> DataFrame:
+    """(country, text, id, least, copies, part) of the texts of a country, dealt into parts of about ``most`` of them."""
+    texts = side.where("country is not null and text is not null").groupBy("country", "text").agg(F.min("entity_id").alias("least"), F.count("*").alias("copies"))
+    texts = materialize(texts.withColumn("id", F.xxhash64("country", "text")), "trigram-texts")
+    n = texts.groupBy("country").agg(F.ceil(F.count("*") / most).alias("parts"))
+    return texts.join(n, "country").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).drop("parts")
+
+
+def trigram_top_k(left: DataFrame, right: DataFrame, k: int = 30, most: int = 1024) -> DataFrame:
+    """(s1, s23, sim, rank): the k nearest by cosine of tf-idf weighted character trigrams (those on two records of ``right`` at
+    least) within a country, exact to 12 decimals. Every two different texts of a country are compared, in blocks: ``most``
+    texts of ``right`` at a time pass by twice as many of ``left``, which keep their k nearest, so no pair becomes a row.
+    Records of one text share its neighbours. Inputs: entity_id, country, text."""
+    most = max(most, 1)
+    one, many = _texts(left, 2 * most), _texts(right, most)
+    padded = F.concat(F.lit(" "), F.col("text"), F.lit(" "))
+    cut = F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - 2, F.lit(1))), lambda i: F.substring(padded, i, F.lit(3)))
+    df = many.select("country", "copies", F.explode(F.array_distinct(cut)).alias("g")).groupBy("country", "g").agg(F.sum("copies").alias("df")).where("df >= 2")
     n = right.groupBy("country").agg(F.count("*").alias("n"))
-    weights = df.join(n, "country").select("country", "g", (F.col("df") > most).alias("often"), (1 + F.log((1 + F.col("n")) / (1 + F.col("df")))).alias("idf"))
-
-    def unit(x: DataFrame) -> DataFrame:
-        w = x.join(weights, ["country", "g"]).withColumn("w", F.col("tf") * F.col("idf"))
-        norm = w.groupBy("entity_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-        return w.join(norm, "entity_id").select("entity_id", "country", "g", "often", (F.col("w") / F.col("norm")).alias("w"))
-
-    one = materialize(unit(a).withColumnsRenamed({"entity_id": "s1", "w": "wa"}), "trigrams")
-    many = materialize(unit(b).withColumnsRenamed({"entity_id": "s23", "w": "wb"}), "trigrams")
-    seldom, often = F.col("often") == False, F.col("often")  # noqa: E712
-    summed = lambda met: met.groupBy("s1", "s23").agg(F.sum(F.col("wa") * F.col("wb")).alias("sim"))
-    part = materialize(summed(one.where(seldom).drop("often").join(many.where(seldom).drop("often"), ["country", "g"])), "trigram-sums")
-    reach = many.where(often).groupBy("country", "s23").agg(F.sqrt(F.sum(F.col("wb") * F.col("wb"))).alias("r")).groupBy("country").agg(F.max("r").alias("r"))
-    rest = one.groupBy("country", "s1").agg(F.sqrt(F.sum(F.when(often, F.col("wa") * F.col("wa")).otherwise(0.0))).alias("own")).join(reach, "country", "left")
-    kth = top_k(part, "s1", "sim", "s23", k).where(F.col("rank") == k).select("s1", F.col("sim").alias("kth"))
-    # no k-th: any pair may be among the k; a little is left for rounding
-    bounds = materialize(rest.join(kth, "s1", "left").select("s1", (F.col("own") * F.coalesce("r", F.lit(0.0)) + 1e-9).alias("rest"), F.coalesce("kth", F.lit(0.0)).alias("kth")), "trigram-bounds")
-    kept = materialize(part.join(bounds, "s1").where(F.col("sim") + F.col("rest") >= F.col("kth")).select("s1", "s23", "sim"), "trigram-pairs")
-    reaching = bounds.where(F.col("rest") >= F.col("kth")).select("s1")
-    frequent, theirs = one.where(often).select("s1", "country", "g", "wa"), many.where(often).select("s23", "country", "g", "wb")
-    every = summed(frequent.join(reaching, "s1", "left_semi").join(theirs, ["country", "g"]))
-    added = summed(kept.join(reaching, "s1", "left_anti").select("s1", "s23").join(frequent, "s1").join(theirs, ["s23", "country", "g"]))
-    sims = kept.unionByName(every).unionByName(added).groupBy("s1", "s23").agg(F.sum("sim").alias("sim"))
-    return top_k(sims, "s1", "sim", "s23", k)
+    weights = df.join(n, "country").select("country", "g", (1 + F.log((1 + F.col("n")) / (1 + F.col("df")))).alias("idf"))
+
+    def packed(rows: DataFrame, kind: int, part: Column, text: str, number: str, least: Column, idf: Column) -> DataFrame:
+        entry = F.struct(F.col(text).alias("text"), F.col(number).alias("id") if number else F.lit(0).cast("long").alias("id"), least.cast("long").alias("least"), idf.alias("idf"))
+        return rows.groupBy("country", part.alias("part")).agg(F.collect_list(entry).alias("rows")).withColumn("kind", F.lit(kind))
+
+    none = F.lit(0.0)
+    blocks = materialize(packed(one, 1, F.col("part"), "text", "id", F.col("least"), none).withColumnRenamed("part", "block"), "trigram-blocks")
+    theirs = packed(weights, 0, F.pmod(F.xxhash64("g"), F.lit(8)), "g", "", F.lit(0), F.col("idf")).unionByName(packed(many, 2, F.col("part"), "text", "id", F.col("least"), none))
+    met = theirs.drop("part").join(blocks.select("country", "block"), "country")
+    rows = blocks.select("country", "block", "kind", "rows").unionByName(met.select("country", "block", "kind", "rows"))
+    dealt = rows.repartition(max(1, min(2 * blocks.count(), 4096)), "country", "block").sortWithinPartitions("country", "block", "kind")
+    near = materialize(dealt.mapInPandas(lambda batches: trigrams.nearest(batches, k), "a long, b long, sim double"), "trigram-near")
+    copies = Window.partitionBy("b").orderBy("s23")  # of one text's records no more than k can be among the nearest
+    first = right.where("country is not null and text is not null").select(F.xxhash64("country", "text").alias("b"), F.col("entity_id").alias("s23"))
+    first = first.distinct().withColumn("__n", F.row_number().over(copies)).where(F.col("__n") <= k).drop("__n")
+    ranked = top_k(near.join(first, "b").groupBy("a", "s23").agg(F.max("sim").alias("sim")), "a", "sim", "s23", k)
+    own = left.select(F.xxhash64("country", "text").alias("a"), F.col("entity_id").alias("s1")).where("country is not null and text is not null").distinct()
+    return own.join(ranked, "a").select("s1", "s23", "sim", "rank")
