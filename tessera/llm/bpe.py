@@ -13,6 +13,7 @@ import hashlib
 import re
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -71,7 +72,8 @@ class BpeCodec:
         self.pair = [after.get(i, nothing).get for i in range(self.none + 1)]
         self.bit = [1 << i for i in range(256)]
         self.bytes_of = {rank: token for token, rank in ranks.items()}
-        self.text_of = {rank: str(rank) for rank in ranks.values()}
+        self.text_at = np.array([str(i) for i in range(self.none)], dtype=object)
+        self.bytes_at = np.array([self.bytes_of.get(i) for i in range(self.none)], dtype=object)
         self.words = [0] * ((max(ranks.values()) >> 8) + 1)
         self.piece_ids = _Memo(lambda piece: _packed(self._encode_piece(piece)))
         self.chunk_ids = _Memo(self._encode_chunk)
@@ -94,9 +96,7 @@ class BpeCodec:
         after, before = list(range(1, n + 2)), list(range(-1, n))
         buckets: dict[int, list[int]] = {}
         summary = 0
-        i = 0
-        for left in ids[:-1]:
-            rank = pair[left](ids[i + 1])
+        for i, rank in enumerate([pair[left](right) for left, right in pairwise(ids)]):
             if rank is not None:
                 if rank in buckets:
                     buckets[rank].append(i)
@@ -104,7 +104,6 @@ class BpeCodec:
                     buckets[rank] = [i]
                     words[rank >> 8] |= bit[rank & 255]
                     summary |= bit[rank >> 8]
-            i += 1
         while summary:
             w = (summary & -summary).bit_length() - 1
             bits = words[w]
@@ -114,8 +113,33 @@ class BpeCodec:
                 summary ^= bit[w]
             rank = (w << 8) + low.bit_length() - 1
             waiting = buckets.pop(rank)
-            if len(waiting) > 1:
-                waiting.sort()
+            if len(waiting) == 1:  # the usual case: nothing else of this rank can be left waiting
+                i = waiting[0]
+                k = after[i]
+                if pair[ids[i]](ids[k]) != rank:
+                    continue  # stale
+                ids[i], ids[k] = rank, none
+                after[i] = m = after[k]
+                before[m] = i
+                p = before[i]
+                new = pair[rank](ids[m])
+                if new is not None:
+                    if new in buckets:
+                        buckets[new].append(i)
+                    else:
+                        buckets[new] = [i]
+                        words[new >> 8] |= bit[new & 255]
+                        summary |= bit[new >> 8]
+                new = pair[ids[p]](rank)
+                if new is not None:
+                    if new in buckets:
+                        buckets[new].append(p)
+                    else:
+                        buckets[new] = [p]
+                        words[new >> 8] |= bit[new & 255]
+                        summary |= bit[new >> 8]
+                continue
+            waiting.sort()
             lowest = rank
             nth = 0
             for i in waiting:
@@ -172,6 +196,14 @@ class BpeCodec:
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
+    def decode_array(self, ids: np.ndarray) -> bytes:
+        """As ``decode``, of what ``encode_array`` gives."""
+        return b"".join(self.bytes_at[ids].tolist())
+
+    def told(self, ids: np.ndarray) -> bytes:
+        """The decimal ids, joined by one space."""
+        return " ".join(self.text_at[ids].tolist()).encode()
+
 
 _codecs: dict[tuple[str, str], BpeCodec] = {}
 
@@ -203,17 +235,15 @@ def encode_column(docs: DataFrame, path: str, pattern: str, text: str = "text",
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         worker.use("bpe", forget)
         bpe = codec(path, pattern)
-        names = bpe.text_of.__getitem__
         for batch in batches:
             for start in range(0, len(batch), SLICE):  # ids of whole batches would take much memory
                 part = batch.iloc[start : start + SLICE]
                 out: dict[str, list] = {c: [] for c in made}
                 for t in part["__text"]:
                     packed = bpe.encode_array(t)
-                    ids = packed.tolist()
-                    out["n_tokens"].append(len(ids))
-                    out["ids_sha256"].append(hashlib.sha256(" ".join(map(names, ids)).encode()).hexdigest())
-                    out["decoded_sha256"].append(hashlib.sha256(bpe.decode(ids)).hexdigest())
+                    out["n_tokens"].append(len(packed))
+                    out["ids_sha256"].append(hashlib.sha256(bpe.told(packed)).hexdigest())
+                    out["decoded_sha256"].append(hashlib.sha256(bpe.decode_array(packed)).hexdigest())
                     if with_ids:
                         out["ids"].append(packed)
                 yield part.drop(columns="__text").assign(**out)
