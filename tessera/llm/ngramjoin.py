@@ -4,7 +4,8 @@ Texts with equal n-gram sets are one class from the start, so copies are never e
 rows follows from the recall wanted at the threshold. Classes that share a band's hash are in one bucket. Each class belongs
 to the largest of its buckets; the classes of a bucket are dealt into parts of bounded size, and two parts (or one with
 itself) make a cell if some bucket holds classes of both. So every pair that shares a band meets in exactly one cell, however
-many bands it shares, and classes that a chain of others ties together don't. A cell verifies its pairs on full n-gram sets
+many bands it shares, and classes that a chain of others ties together don't. Classes whose number of n-grams rules out the
+similarity with all others of a bucket are not in it. A cell verifies its pairs on full n-gram sets
 and puts out counts and a spanning forest, not pairs: links grow with the square of a group, rows do not.
 """
 
@@ -72,28 +73,42 @@ def set_key(grams: np.ndarray) -> bytes | None:
     return hashlib.blake2b(grams.tobytes(), digest_size=16).digest() if len(grams) else None
 
 
+def packed(grams: np.ndarray) -> bytes:
+    """The upper 48 bits of each hash: what a set takes on its way to a cell. A pair of sets of 20,000 each has two hashes that
+    fall together once in 700,000 such pairs."""
+    return (grams >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), dtype=np.uint8)
+    out[:, :6] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 6)
+    found = out.view("<u8").ravel()
+    return found if (found[1:] != found[:-1]).all() else np.unique(found)
+
+
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, uid, key, bands) of ``docs`` (doc_id long, text). Ids stay out of Python, where a batch that holds a null would
+    """(doc_id, uid, key, grams, bands) of ``docs`` (doc_id long, text). Ids stay out of Python, where a batch that holds a null would
     turn them into inexact numbers."""
 
-    @F.pandas_udf("key binary, bands array<long>")
+    @F.pandas_udf("key binary, grams int, bands array<long>")
     def signed(texts: pd.Series) -> pd.DataFrame:
         worker.use("ngramjoin")
         rng = np.random.default_rng(20240101)
         a = rng.integers(0, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         b = rng.integers(0, 2**63, bands * rows, dtype=np.uint64)
-        keys, all_bands = [], []
+        keys, sizes, all_bands = [], [], []
         for text in texts:
             grams = ngrams(text, n)
             keys.append(set_key(grams))
+            sizes.append(len(grams))
             if len(grams):
                 s = signature(grams, a, b).reshape(bands, rows)
                 all_bands.append([xxhash.xxh64_intdigest(r.tobytes(), seed=i) - (1 << 63) for i, r in enumerate(s)])
             else:
                 all_bands.append(None)
-        return pd.DataFrame({"key": keys, "bands": all_bands})
+        return pd.DataFrame({"key": keys, "grams": np.array(sizes, dtype="int32"), "bands": all_bands})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("uid"), signed("text").alias("s")).select("doc_id", "uid", "s.key", "s.bands")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("uid"), signed("text").alias("s")).select("doc_id", "uid", "s.key", "s.grams", "s.bands")
 
 
 def row_key() -> Column:
@@ -148,11 +163,23 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> list[int]:
     return [root(x) for x in range(n)]
 
 
-def cells_of(classes: DataFrame, chunk: int) -> DataFrame:
-    """(key, part, cells: array of (a, b)) of the classes that share a band with another. ``classes``: key, bands."""
-    bands = classes.select("key", F.posexplode("bands").alias("band", "hash")).select("key", F.xxhash64("band", "hash").alias("bucket"))
-    sizes = materialize(bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-    ties = materialize(spread_join(bands, sizes, ["bucket"], "n", sizes.agg(F.sum("n")).first()[0] or 0, ["key"]), "ties")
+def level(grams: Column, threshold: float) -> Column:
+    """0 to 62: sets of that similarity or more are on one level or on neighbours; the highest level holds all above."""
+    return F.least(F.floor(F.log(grams) / (math.log(max(1 / threshold, 1.001)) + 1e-9)), F.lit(62)).cast("int")
+
+
+def cells_of(classes: DataFrame, chunk: int, threshold: float) -> DataFrame:
+    """(key, part, cells: array of (a, b)) of the classes that share a band with another whose size allows the similarity.
+    ``classes``: key, grams, bands."""
+    bands = classes.select("key", level(F.col("grams"), threshold).alias("level"), F.posexplode("bands").alias("band", "hash")).select("key", "level", F.xxhash64("band", "hash").alias("bucket"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("level"))
+    sizes = bands.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_or(bit).alias("levels"))
+    beside = F.col("levels").bitwiseAND(F.shiftright("levels", 1)) != 0
+    sizes = materialize(sizes.withColumn("some", F.col("n") > F.bit_count("levels")).where(F.col("some") | beside), "buckets")
+    ties = spread_join(bands, sizes, ["bucket"], "n", sizes.agg(F.sum("n")).first()[0] or 0, ["key"])
+    # where two are on one level, which one isn't known: all stay; else those beside another
+    near = bit.bitwiseAND(F.shiftright("levels", 1).bitwiseOR(F.shiftleft("levels", 1))) != 0
+    ties = materialize(ties.where(F.col("some") | near).select("key", "bucket", "n"), "ties")
     homes = materialize(ties.groupBy("key").agg(F.max(F.struct("n", "bucket"))["bucket"].alias("home")), "homes")
     groups = homes.groupBy("home").agg(F.count("*").alias("members"))
     nodes = spread_join(homes, groups, ["home"], "members", homes.count(), ["key"])
@@ -167,15 +194,15 @@ def cells_of(classes: DataFrame, chunk: int) -> DataFrame:
 
 def linked(classes: DataFrame, docs: DataFrame, n: int, threshold: float, chunk: int) -> DataFrame:
     """(key, root, links): for each cell and class with a link in it, the cell's root of its tree and the number of documents
-    in classes that are linked to it there. ``classes``: key, rep, size, bands."""
-    nodes = cells_of(classes, chunk).join(classes.select("key", "rep.uid", "size"), "key").withColumnRenamed("uid", "__rep")
+    in classes that are linked to it there. ``classes``: key, rep, size, grams, bands."""
+    nodes = cells_of(classes, chunk, threshold).join(classes.select("key", "rep.uid", "size"), "key").withColumnRenamed("uid", "__rep")
     texts = docs.select("text", row_key().alias("uid")).join(nodes, F.col("uid") == F.col("__rep"))
 
     @F.pandas_udf("binary")
     def shingles(texts: pd.Series, keys: pd.Series) -> pd.Series:
         """Null where another row's key happens to be the same."""
         grams = (ngrams(t, n) for t in texts)
-        return pd.Series([g.tobytes() if set_key(g) == bytes(k) else None for g, k in zip(grams, keys, strict=True)], dtype=object)
+        return pd.Series([packed(g) if set_key(g) == bytes(k) else None for g, k in zip(grams, keys, strict=True)], dtype=object)
 
     rows = texts.select("key", "part", "cells", "size", shingles("text", "key").alias("grams")).where("grams is not null")
     # of rows that repeat one is enough: cells tell rows by key
@@ -187,7 +214,7 @@ def linked(classes: DataFrame, docs: DataFrame, n: int, threshold: float, chunk:
 
         def close() -> pd.DataFrame:
             first = None if now[0] == now[1] else sum(r[0] == now[0] for r in held)  # parts ascend, a before b
-            i, j = verified([np.frombuffer(r[3], dtype=np.uint64) for r in held], threshold, first)
+            i, j = verified([unpacked(r[3]) for r in held], threshold, first)
             size = np.array([r[2] for r in held], dtype=np.int64)
             links = (np.bincount(i, size[j], len(held)) + np.bincount(j, size[i], len(held))).astype("int64")
             roots = _roots(len(held), i, j)
@@ -222,7 +249,7 @@ def join_rows(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall:
     docs = docs.select("doc_id", "text")
     signed = materialize(signatures(docs, n, bands, rows), "signatures")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid"))
-    classes = materialize(signed.where("key is not null").groupBy("key").agg(first.alias("rep"), F.count("*").alias("size"), F.first("bands").alias("bands")), "classes")
+    classes = materialize(signed.where("key is not null").groupBy("key").agg(first.alias("rep"), F.count("*").alias("size"), F.first("grams").alias("grams"), F.first("bands").alias("bands")), "classes")
     found = materialize(linked(classes, docs, n, threshold, chunk), "links")
     groups = connected_components(found.select(F.col("key").alias("src"), F.col("root").alias("dst")))
     counts = found.groupBy("key").agg(F.sum("links").alias("links"))
