@@ -17,6 +17,7 @@ from itertools import pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -232,23 +233,20 @@ def encode_column(docs: DataFrame, path: str, pattern: str, text: str = "text",
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(text), F.lit("")).alias("__text"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]] + ["n_tokens long, ids_sha256 string, decoded_sha256 string"] + ["ids array<int>"] * with_ids)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker.use("bpe", forget)
         bpe = codec(path, pattern)
         for batch in batches:
-            for start in range(0, len(batch), SLICE):  # ids of whole batches would take much memory
-                part = batch.iloc[start : start + SLICE]
-                out: dict[str, list] = {c: [] for c in made}
-                for t in part["__text"]:
-                    packed = bpe.encode_array(t)
-                    out["n_tokens"].append(len(packed))
-                    out["ids_sha256"].append(hashlib.sha256(bpe.told(packed)).hexdigest())
-                    out["decoded_sha256"].append(hashlib.sha256(bpe.decode_array(packed)).hexdigest())
-                    if with_ids:
-                        out["ids"].append(packed)
-                yield part.drop(columns="__text").assign(**out)
-
-    return rows.mapInPandas(run, schema)
+            for start in range(0, batch.num_rows, SLICE):  # texts and ids of whole batches would take much memory
+                part = batch.slice(start, SLICE)
+                encoded = [bpe.encode_array(t) for t in part.column(part.num_columns - 1).to_pylist()]
+                size = np.array([len(x) for x in encoded], dtype=np.int64)
+                out = [pa.array(size), pa.array([hashlib.sha256(bpe.told(x)).hexdigest() for x in encoded]), pa.array([hashlib.sha256(bpe.decode_array(x)).hexdigest() for x in encoded])]
+                if with_ids:
+                    out.append(pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(size))).astype(np.int32), pa.array(np.concatenate(encoded), pa.int32())))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *out], [*part.schema.names[:-1], *made])
+
+    return rows.mapInArrow(run, schema)
 
 
 def decode_column(tokens: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "text") -> DataFrame:

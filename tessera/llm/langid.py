@@ -108,7 +108,7 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text"
 
     @F.pandas_udf("lang_pred string, score double")
     def predicted(texts: pd.Series) -> pd.DataFrame:
-        worker.use("langid")
+        worker.use("langid", _letters.cache_clear)
         return pd.DataFrame([of(t) for t in texts], columns=["lang_pred", "score"])
 
     of = _Lazy(profiles, size)
