@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+
+from tessera.functions.alignment import best_windows, lcs_many
 
 
 def lcs(a: str, b: str) -> int:
@@ -91,15 +96,86 @@ def lcs_share(a: str, b: str) -> float:
     return lcs(a, b) / max(len(a), len(b)) if a or b else 1.0
 
 
+def _ratios(a: list[str], b: list[str], length: np.ndarray | None = None) -> np.ndarray:
+    length = lcs_many(a, b, lcs) if length is None else length
+    size = np.array([len(x) + len(y) for x, y in zip(a, b, strict=True)], dtype=np.int64)
+    return np.where(size > 0, 200.0 * length / np.maximum(size, 1), 100.0)
+
+
+def _sorted_ratios(a: list[str], b: list[str]) -> np.ndarray:
+    return _ratios([" ".join(sorted(x.split())) for x in a], [" ".join(sorted(x.split())) for x in b])
+
+
+def _set_ratios(a: list[str], b: list[str]) -> np.ndarray:
+    """As ``token_set_ratio``: what needs no subsequence pair by pair, the rest at once."""
+    out, at, one, two = np.zeros(len(a)), [], [], []
+    for i, (p, q) in enumerate(zip(a, b, strict=True)):
+        x, y = set(p.split()), set(q.split())
+        if not x or not y:
+            continue
+        both = x & y
+        if both and (len(both) == len(x) or len(both) == len(y)):
+            out[i] = 100.0
+            continue
+        head = sorted(both)
+        s1, s2 = " ".join(head + sorted(x - both)), " ".join(head + sorted(y - both))
+        if both:
+            s = len(" ".join(head))
+            out[i] = max(200.0 * s / (s + len(s1)), 200.0 * s / (s + len(s2)))
+        at.append(i)
+        one.append(s1)
+        two.append(s2)
+    out[at] = np.maximum(out[at], _ratios(one, two))
+    return out
+
+
+def _partials(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(lcs, partial ratio)"""
+    length, best = best_windows(a, b, partial_ratio, lcs)
+    return length, np.array([x if p and q else 0.0 if p or q else 100.0 for p, q, x in zip(a, b, best, strict=True)])
+
+
+def _shares(a: list[str], b: list[str], length: np.ndarray | None = None) -> np.ndarray:
+    length = lcs_many(a, b, lcs) if length is None else length
+    size = np.array([max(len(x), len(y)) for x, y in zip(a, b, strict=True)], dtype=np.int64)
+    return np.where(size > 0, length / np.maximum(size, 1), 1.0)
+
+
+def _winklers(a: list[str], b: list[str]) -> np.ndarray:
+    return np.array([jaro_winkler(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
 def _udf(f):
     @F.pandas_udf(DoubleType())
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([f(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
+        return pd.Series(f([x or "" for x in a], [x or "" for x in b]), dtype="float64")
 
     return run
 
 
-ratio_udf, token_sort_udf, token_set_udf, partial_udf, jaro_winkler_udf, lcs_share_udf = map(_udf, (ratio, token_sort_ratio, token_set_ratio, partial_ratio, jaro_winkler, lcs_share))
+ratio_udf, token_sort_udf, token_set_udf, partial_udf, jaro_winkler_udf, lcs_share_udf = map(_udf, (_ratios, _sorted_ratios, _set_ratios, lambda a, b: _partials(a, b)[1], _winklers, _shares))
+
+#: What ``family`` gives.
+FAMILY = [
+    *(f"{x}_{y}" for x in ("name", "addr") for y in ("ratio", "partial", "tsort", "tset")),
+    *("core_ratio", "core_tset", "sq_ratio", "sq_partial", "sq_jw", "sq_lcs", "phon_ratio", "num_tset"),
+]
+
+
+@F.pandas_udf(StructType([StructField(c, DoubleType()) for c in FAMILY]))
+def family(name_a: pd.Series, name_b: pd.Series, addr_a: pd.Series, addr_b: pd.Series, core_a: pd.Series, core_b: pd.Series, sq_a: pd.Series, sq_b: pd.Series, num_a: pd.Series, num_b: pd.Series) -> pd.DataFrame:
+    """All ratios of pairs of records; a ratio and a partial ratio share what is computed for them."""
+    plain = lambda *x: [[t or "" for t in s] for s in x]
+    name, addr, core, sq, num = plain(name_a, name_b), plain(addr_a, addr_b), plain(core_a, core_b), plain(sq_a, sq_b), plain(num_a, num_b)
+    out = {}
+    for key, (a, b) in (("name", name), ("addr", addr)):
+        length, best = _partials(a, b)
+        out |= {f"{key}_ratio": _ratios(a, b, length), f"{key}_partial": best, f"{key}_tsort": _sorted_ratios(a, b), f"{key}_tset": _set_ratios(a, b)}
+    length, best = _partials(*sq)
+    out |= {"core_ratio": _ratios(*core), "core_tset": _set_ratios(*core), "sq_ratio": _ratios(*sq, length), "sq_partial": best, "sq_jw": _winklers(*sq), "sq_lcs": _shares(*sq, length)}
+    out |= {"phon_ratio": _ratios(*[[_code(x) for x in s] for s in core]), "num_tset": _set_ratios(*num)}
+    return pd.DataFrame(out)[FAMILY]
+
 
 _VOWELS = "AEIOU"
 
@@ -164,7 +240,16 @@ def metaphone(word: str) -> str:
     return "".join(out)
 
 
+@functools.lru_cache(maxsize=1 << 16)
+def _sound(word: str) -> str:
+    return metaphone(word)
+
+
+def _code(words: str) -> str:
+    return " ".join(_sound(w) for w in words.split()[:2])
+
+
 @F.pandas_udf(StringType())
 def phonetic(words: pd.Series) -> pd.Series:
     """Codes of the first two words of a name, with a blank between."""
-    return words.map(lambda x: " ".join(metaphone(w) for w in (x or "").split()[:2]))
+    return words.map(lambda x: _code(x or ""))

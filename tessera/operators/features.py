@@ -76,37 +76,77 @@ def fuzzy(rows: DataFrame) -> DataFrame:
     a, b = (lambda c: F.col(f"a_{c}")), (lambda c: F.col(f"b_{c}"))
     text = lambda c, sep=" ": (F.array_join(a(c), sep), F.array_join(b(c), sep))
     name, squash, core, addr, nums = (a("name_c"), b("name_c")), (a("squash"), b("squash")), text("core"), text("addr"), text("nums")
-    phon = (S.phonetic(core[0]), S.phonetic(core[1]))
-    made = {}
-    for key, pair in (("name", name), ("addr", addr)):
-        made |= {f"{key}_ratio": S.ratio_udf(*pair), f"{key}_partial": S.partial_udf(*pair), f"{key}_tsort": S.token_sort_udf(*pair), f"{key}_tset": S.token_set_udf(*pair)}
-    made |= {"core_ratio": S.ratio_udf(*core), "core_tset": S.token_set_udf(*core), "sq_ratio": S.ratio_udf(*squash), "sq_partial": S.partial_udf(*squash), "sq_jw": S.jaro_winkler_udf(*squash), "sq_lcs": S.lcs_share_udf(*squash), "phon_ratio": S.ratio_udf(*phon), "num_tset": S.token_set_udf(*nums)}
-    return rows.withColumns(made)
+    made = S.family(*name, *addr, *core, *squash, *nums)
+    return rows.withColumn("__f", made).select(*rows.columns, "__f.*")
 
 
 def rarity(pairs: DataFrame, signed: DataFrame, weights: DataFrame, column: str, prefix: str) -> DataFrame:
     """``pairs`` with what the shared and missing words of ``column`` weigh (``weights``: token, idf): sum and largest of the
     shared, their share of either side (1 if that side is empty), largest missing of either side. Words meet their weights
     once a record, not once a pair."""
+    of = lambda key, name: bags(signed, weights, column).select(F.col("entity_id").alias(key), F.col("bag").alias(name))
+    none = F.array().cast("array<struct<token:string,idf:double>>")
+    rows = pairs.join(of("s1", "__a"), "s1", "left").join(of("s23", "__b"), "s23", "left")
+    entries = lambda c: F.map_from_entries(F.coalesce(c, none))
+    return with_rarity(rows.withColumns({"__a": entries("__a"), "__b": entries("__b")}), "__a", "__b", prefix).drop("__a", "__b")
+
+
+def bags(signed: DataFrame, weights: DataFrame, column: str) -> DataFrame:
+    """(entity_id, bag: array of (token, idf), by token) of the distinct words of ``column`` that have a weight."""
     words = signed.select("entity_id", F.explode(F.array_distinct(column)).alias("token")).join(weights.select("token", "idf"), "token")
-    bags = words.groupBy("entity_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("token", "idf")))).alias("bag"))
-    none = F.create_map().cast("map<string,double>")
-    of = lambda key, name: bags.select(F.col("entity_id").alias(key), F.col("bag").alias(name))
-    rows = pairs.join(of("s1", "__a"), "s1", "left").join(of("s23", "__b"), "s23", "left").withColumns({"__a": F.coalesce("__a", none), "__b": F.coalesce("__b", none)})
+    return words.groupBy("entity_id").agg(F.sort_array(F.collect_list(F.struct("token", "idf"))).alias("bag"))
+
+
+def with_rarity(rows: DataFrame, a: str, b: str, prefix: str) -> DataFrame:
+    """``rows`` with what ``rarity`` tells of the maps ``a`` and ``b`` from words to weights."""
     total = lambda m: F.aggregate(F.map_values(m), F.lit(0.0), lambda s, x: s + x)
     most = lambda m: F.coalesce(F.array_max(F.map_values(m)), F.lit(0.0))
-    rows = rows.withColumn("__s", F.map_filter("__a", lambda k, _: F.map_contains_key(F.col("__b"), k)))
+    rows = rows.withColumn("__s", F.map_filter(a, lambda k, _: F.map_contains_key(F.col(b), k)))
     miss = lambda m, n: most(F.map_filter(m, lambda k, _: ~F.map_contains_key(F.col(n), k)))
     cover = lambda m: F.when(total(m) == 0, 1.0).otherwise(total(F.col("__s")) / total(m))
-    made = {f"{prefix}_shared_sum": total(F.col("__s")), f"{prefix}_shared_max": most(F.col("__s")), f"{prefix}_cov_a": cover(F.col("__a")), f"{prefix}_cov_b": cover(F.col("__b")), f"{prefix}_miss_max_a": miss(F.col("__a"), "__b"), f"{prefix}_miss_max_b": miss(F.col("__b"), "__a")}
-    return rows.withColumns(made).drop("__a", "__b", "__s")
+    made = {f"{prefix}_shared_sum": total(F.col("__s")), f"{prefix}_shared_max": most(F.col("__s")), f"{prefix}_cov_a": cover(F.col(a)), f"{prefix}_cov_b": cover(F.col(b)), f"{prefix}_miss_max_a": miss(F.col(a), b), f"{prefix}_miss_max_b": miss(F.col(b), a)}
+    return rows.withColumns(made).drop("__s")
 
 
 def squash_counts(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     """log1p of how many records of source 1, and of the satellites, in the country have a pair's exact squashed names."""
-    keyed = signed.select("country", "squash", (F.col("src") == 1).alias("one"))
-    n = keyed.groupBy("country", "squash").agg(F.sum(F.col("one").cast("long")).alias("n1"), F.sum((~F.col("one")).cast("long")).alias("n23"))
-    own = signed.select("entity_id", "country", "squash").join(n, ["country", "squash"]).select("entity_id", "n1", "n23")
+    own = squash_numbers(signed)
     a = own.select(F.col("entity_id").alias("s1"), F.log1p("n1").alias("sq_n_s1_a"))
     b = own.select(F.col("entity_id").alias("s23"), F.log1p("n1").alias("sq_n_s1_b"), F.log1p("n23").alias("sq_n_s23_b"))
     return pairs.join(a, "s1").join(b, "s23")
+
+
+def squash_numbers(signed: DataFrame) -> DataFrame:
+    """(entity_id, n1, n23): records of source 1, and of the satellites, in a record's country with its squashed name."""
+    keyed = signed.select("country", "squash", (F.col("src") == 1).alias("one"))
+    n = keyed.groupBy("country", "squash").agg(F.sum(F.col("one").cast("long")).alias("n1"), F.sum((~F.col("one")).cast("long")).alias("n23"))
+    return signed.select("entity_id", "country", "squash").join(n, ["country", "squash"]).select("entity_id", "n1", "n23")
+
+
+#: What a pair takes along of either record; the other forms follow from these.
+CARRIED = ["name_c", "core", "sfx", "addr", "nums", "is_domain", "non_latin", "addr_empty", "src"]
+
+
+def sides(signed: DataFrame, weights: dict[str, DataFrame]) -> DataFrame:
+    """entity_id, ``CARRIED``, the weights of the record's words in each column of ``weights`` (by word) and its squashed name's
+    counts: all that features need of a record, so that pairs meet records once. ``signed`` as ``records.signatures`` gives it."""
+    rows = signed.select("entity_id", *CARRIED).join(squash_numbers(signed), "entity_id", "left")  # none without a country
+    for column, w in weights.items():
+        rows = rows.join(bags(signed, w, column).select("entity_id", F.col("bag.idf").alias(f"w_{column}")), "entity_id", "left")
+    return rows
+
+
+def pair_features(pairs: DataFrame, records: DataFrame, prefixes: dict[str, str]) -> DataFrame:
+    """``pairs`` with all features of two records. ``records``: as ``sides`` gives them; ``prefixes``: column to the name of what
+    its words weigh."""
+    of = lambda key, p: records.select(F.col("entity_id").alias(key), *[F.col(c).alias(f"{p}_{c}") for c in records.columns[1:]])
+    rows = pairs.join(of("s1", "a"), "s1").join(of("s23", "b"), "s23").where("a_n1 is not null and b_n1 is not null")
+    words = lambda c: F.when(F.col(c) == "", F.array().cast("array<string>")).otherwise(F.split(c, " "))
+    rows = rows.withColumns({x: y for p in "ab" for x, y in ((f"{p}_words", words(f"{p}_name_c")), (f"{p}_squash", F.array_join(f"{p}_core", "")))})
+    rows = fuzzy(native(rows))
+    for column, prefix in prefixes.items():
+        bag = lambda p: F.when(F.col(f"{p}_w_{column}").isNull(), F.create_map().cast("map<string,double>")).otherwise(F.map_from_arrays(F.array_sort(F.array_distinct(f"{p}_{column}")), f"{p}_w_{column}"))  # noqa: B023, E731
+        rows = with_rarity(rows.withColumns({"__a": bag("a"), "__b": bag("b")}), "__a", "__b", prefix).drop("__a", "__b")
+    rows = rows.withColumns({"sq_n_s1_a": F.log1p("a_n1"), "sq_n_s1_b": F.log1p("b_n1"), "sq_n_s23_b": F.log1p("b_n23")})
+    drop = [c for c in rows.columns if c[:2] in ("a_", "b_") and c not in ("b_is_domain", "b_non_latin", "b_addr_empty", "b_src", "a_addr_empty")]
+    return rows.drop(*drop)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import logit
 from tessera.operators.context import score_context
 from tessera.operators.select import hard_negatives
-from tessera.session import materialize
+from tessera.session import materialize, release, settle
 
 VALID, NEG_PER_POS, HARD_RANK = 0.1, 5, 5
 P1 = ["p1", "p1_rank", "p1_margin", "p1_sum", "p1_n_above", "p1_rev_rank", "p1_rev_margin"]
@@ -74,26 +74,39 @@ def _score(model, rows: DataFrame, features: list[str], out: str) -> DataFrame:
 
 
 def _first_pass(models: list, rows: DataFrame, features: list[str]) -> DataFrame:
+    features_of = rows
     for k, m in enumerate(models):
         rows = _score(m, rows, features, f"__p{k}")
     mean = (F.col("__p0") + F.col("__p1")) / 2
     own = F.when(F.col("role") != "TRAIN", mean).when(F.col("fold") == 0, F.col("__p0")).otherwise(F.col("__p1")) if "role" in rows.columns else mean
-    return score_context(rows.withColumn("p1", own).drop("__p0", "__p1"))
+    # only pairs and scores are dealt out to be ranked; the features move once, to meet what came of it
+    told = score_context(materialize(rows.select("s1", "s23", own.alias("p1")), "p1"))
+    return features_of.join(told, ["s1", "s23"])
 
 
 def train(rows: DataFrame, features: list[str], trees: int = 20, depth: int = 5) -> TwoPass:
-    """``rows``: s1, s23, label, role, fold, pre_rank and features. Pass 1 in two folds, so that pass 2 sees out-of-fold scores
-    of its rows; pass 2 adds the competition of those scores; isotonic calibration on CAL."""
+    """``rows``: s1, s23, label, role, fold, pre_rank and features, one row a pair. Pass 1 in two folds, so that pass 2 sees
+    out-of-fold scores of its rows; pass 2 adds the competition of those scores; isotonic calibration on CAL."""
+    return train_scored(rows, features, trees, depth)[0]
+
+
+def train_scored(rows: DataFrame, features: list[str], trees: int = 20, depth: int = 5) -> tuple[TwoPass, DataFrame]:
+    """As ``train``, and ``rows`` with the first pass's scores, for ``second_pass``."""
     fit = materialize(subsample(rows.where("role = 'TRAIN'")), "fit")
     first = [_fit(fit.where(F.col("fold") != k), features, trees, depth) for k in (0, 1)]
-    scored = materialize(_first_pass(first, rows, features), "first-pass")
+    release(fit)
+    scored = settle(lambda: _first_pass(first, rows, features), "first-pass")
     second = _fit(subsample(scored.where("role = 'TRAIN'")), [*features, *P1], trees, depth)
     cal = _score(second, scored.where("role = 'CAL'"), [*features, *P1], "raw")
-    return TwoPass(features, first, second, IsotonicRegression(labelCol="label", featuresCol="raw", predictionCol="p").fit(cal))
+    return TwoPass(features, first, second, IsotonicRegression(labelCol="label", featuresCol="raw", predictionCol="p").fit(cal)), scored
 
 
 def predict(model: TwoPass, rows: DataFrame) -> DataFrame:
-    done = _score(model.second, _first_pass(model.first, rows, model.features), [*model.features, *P1], "raw")
+    return second_pass(model, _first_pass(model.first, rows, model.features))
+
+
+def second_pass(model: TwoPass, scored: DataFrame) -> DataFrame:
+    done = _score(model.second, scored, [*model.features, *P1], "raw")
     return model.isotonic.transform(done).withColumn("p", F.least(F.greatest("p", F.lit(0.0)), F.lit(1.0)))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import blocking, decide, features, model
 from tessera.operators.context import group_stats
-from tessera.session import materialize
+from tessera.session import materialize, release, settle
 
 #: The 66 features of the first pass.
 NUMERIC = [
@@ -38,12 +38,10 @@ def candidate_table(signed: DataFrame, cap: int = blocking.MAX_BLOCK, k: int = b
 
 
 def feature_table(pairs: DataFrame, signed: DataFrame) -> DataFrame:
-    """Everything the classifier reads: forms, rarity of shared words, and the competition of both sides by pre-score."""
-    rows = features.fuzzy(features.native(features.attach(pairs, signed)))
-    rows = rows.drop(*[f"{p}_{c}" for p in "ab" for c in features.FORMS if f"{p}_{c}" not in ("b_is_domain", "b_non_latin", "b_addr_empty", "b_src", "a_addr_empty")])
-    rows = features.rarity(rows, signed, blocking.idf(signed), "addr", "idf")
-    rows = features.rarity(rows, signed, blocking.idf(signed, "core"), "core", "nidf")
-    return candidate_context(features.squash_counts(rows, signed))
+    """Everything the classifier reads: the competition of both sides by pre-score, told of the pairs alone, then forms and
+    rarity of shared words. Pairs meet each record once, with all that is needed of it."""
+    records = materialize(features.sides(signed, {"addr": blocking.idf(signed), "core": blocking.idf(signed, "core")}), "sides")
+    return features.pair_features(candidate_context(pairs), records, {"addr": "idf", "core": "nidf"})
 
 
 def candidate_context(rows: DataFrame, score: str = "prescore") -> DataFrame:
@@ -58,9 +56,12 @@ def link(signed: DataFrame, truth: DataFrame, tau: float = 0.5, mode: str = "par
     """(s1, s23, p, rank): trained on ``truth`` (s1, s23) of the TRAIN entities, decided for all. Signatures, candidates and
     features are tables in the shared folder, as several jobs read them."""
     signed = materialize(signed, "signatures")
-    pairs = materialize(candidate_table(signed, cap), "candidates")
-    rows = feature_table(pairs, signed).join(truth.select("s1", "s23", F.lit(1).alias("label")).distinct(), ["s1", "s23"], "left").na.fill(0, ["label"])
+    pairs = settle(lambda: candidate_table(signed, cap), "candidates")
+    known = pairs.join(truth.select("s1", "s23", F.lit(1).alias("label")).distinct(), ["s1", "s23"], "left").na.fill(0, ["label"])
     entities = signed.where("src = 1").select(F.col("entity_id").alias("s1"))
-    rows = materialize(rows.join(model.roles(entities, 0.3), "s1"), "features")
-    scored = model.predict(model.train(rows, NUMERIC, trees), rows)
-    return decide.decide(scored.withColumn("noaddr", (F.col("a_addr_empty") + F.col("b_addr_empty")) > 0), tau, mode).select("s1", "s23", "p", "rank")
+    known = known.join(model.roles(entities, 0.3), "s1")
+    rows = settle(lambda: feature_table(known, signed), "features")
+    fitted, scored = model.train_scored(rows, NUMERIC, trees)
+    release(rows, pairs)
+    done = model.second_pass(fitted, scored).select("s1", "s23", "p", ((F.col("a_addr_empty") + F.col("b_addr_empty")) > 0).alias("noaddr"))
+    return decide.decide(done, tau, mode).select("s1", "s23", "p", "rank")

@@ -8,6 +8,7 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,6 +56,25 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._tessera_path = path
+    for scope in _scopes[-1:]:
+        scope.append(out)
+    return out
+
+
+#: What ``settle`` calls that have not ended have written.
+_scopes: list[list[DataFrame]] = []
+
+
+def settle(make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """``materialize`` what ``make`` gives, then remove the tables and shuffle files that it left on the way."""
+    _scopes.append(mine := [])
+    try:
+        out = materialize(make(), label)
+    finally:
+        _scopes.pop()
+    release(*[t for t in mine if t is not out])
+    for scope in _scopes[-1:]:
+        scope.append(out)
     return out
 
 
