@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import worker
 from tessera.llm.graph import connected_components
-from tessera.llm.skew import spread_join
+from tessera.llm.skew import sifted, spread_join
 from tessera.session import materialize
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.9995
@@ -176,7 +176,9 @@ def cells_of(classes: DataFrame, chunk: int, threshold: float) -> DataFrame:
     sizes = bands.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_or(bit).alias("levels"))
     beside = F.col("levels").bitwiseAND(F.shiftright("levels", 1)) != 0
     sizes = materialize(sizes.withColumn("some", F.col("n") > F.bit_count("levels")).where(F.col("some") | beside), "buckets")
-    ties = spread_join(bands, sizes, ["bucket"], "n", sizes.agg(F.sum("n")).first()[0] or 0, ["key"])
+    met, buckets = sizes.agg(F.sum("n"), F.count("*")).first()
+    bands = sifted(bands, F.col("bucket"), sizes, F.col("bucket"), buckets)  # most buckets hold one class
+    ties = spread_join(bands, sizes, ["bucket"], "n", met or 0, ["key"])
     # where two are on one level, which one isn't known: all stay; else those beside another
     near = bit.bitwiseAND(F.shiftright("levels", 1).bitwiseOR(F.shiftleft("levels", 1))) != 0
     ties = materialize(ties.where(F.col("some") | near).select("key", "bucket", "n"), "ties")
@@ -196,7 +198,9 @@ def linked(classes: DataFrame, docs: DataFrame, n: int, threshold: float, chunk:
     """(key, root, links): for each cell and class with a link in it, the cell's root of its tree and the number of documents
     in classes that are linked to it there. ``classes``: key, rep, size, grams, bands."""
     nodes = cells_of(classes, chunk, threshold).join(classes.select("key", "rep.uid", "size"), "key").withColumnRenamed("uid", "__rep")
-    texts = docs.select("text", row_key().alias("uid")).join(nodes, F.col("uid") == F.col("__rep"))
+    nodes = materialize(nodes, "nodes")
+    texts = sifted(docs.select("text", row_key().alias("uid")), F.col("uid"), nodes, F.col("__rep"), nodes.count())  # texts are long, few meet another
+    texts = texts.join(nodes, F.col("uid") == F.col("__rep"))
 
     @F.pandas_udf("binary")
     def shingles(texts: pd.Series, keys: pd.Series) -> pd.Series:

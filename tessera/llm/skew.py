@@ -1,14 +1,17 @@
-"""Joins whose hot keys are dealt to many tasks, and bounded samples without a hot task."""
+"""Joins whose hot keys are dealt to many tasks, rows that can't meet left out before a shuffle, and bounded samples without a
+hot task."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A key of more than one part in SHARE of all rows is hot: there are fewer than SHARE of them, whatever the data. Its rows go to SALTS places.
 SHARE, SALTS = 512, 64
+#: ``sifted`` takes 16 to 32 bits a key, and so many (as powers of two) at least and at most: 16 MB.
+LEAST_BITS, MOST_BITS = 15, 27
 
 
 def spread_join(rows: DataFrame, told: DataFrame, on: list[str], weight: str, total: int, by: list[str], how: str = "inner") -> DataFrame:
@@ -22,6 +25,20 @@ def spread_join(rows: DataFrame, told: DataFrame, on: list[str], weight: str, to
     return left.join(right, [*on, "__salt"], how).drop("__salt")
 
 
+def sifted(rows: DataFrame, key: Column, told: DataFrame, told_key: Column, n: int) -> DataFrame:
+    """Rows of ``rows`` whose ``key`` (a 64-bit hash) may be among the ``n`` ones of ``told``: all that are, and of the others
+    up to one in 16, or more where ``told`` has above 8 million keys. For joins that few rows outlive, before their shuffle. Keys
+    are marked in a bitmap that is broadcast and never larger than ``MOST_BITS`` allow, whatever the data."""
+    power = min(max(math.ceil(math.log2(16 * max(n, 1))), LEAST_BITS), MOST_BITS)
+    place = lambda k: F.pmod(k, F.lit(1 << power))
+    page = lambda k: F.shiftright(place(k), 15).cast("int").alias("__page")
+    bit = lambda k: F.pmod(place(k), F.lit(1 << 15))
+    marks = told.select(page(told_key), bit(told_key).alias("__bit")).repartition("__page").groupBy("__page").agg(F.bitmap_construct_agg("__bit").alias("__map"))
+    met = rows.withColumns({"__page": page(key), "__bit": bit(key).cast("int")}).join(F.broadcast(marks), "__page")
+    byte = F.expr("cast(conv(hex(substring(__map, __bit div 8 + 1, 1)), 16, 10) as int)")
+    return met.where(F.getbit(byte, F.pmod("__bit", F.lit(8))) == 1).select(*[F.col(f"`{c}`") for c in rows.columns])
+
+
 def least_hashed(rows: DataFrame, group: str, key: str, most: int) -> DataFrame:
     """(group, key), distinct: the ``most`` keys of least hash of each group. Groups are few (labels, languages) and their row
     counts come to the driver; from these follows a bound of the hash that leaves a little more than ``most`` rows a group
