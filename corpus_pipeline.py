@@ -6,6 +6,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written a
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import public_tokenizers
@@ -14,9 +15,21 @@ from pyspark.sql import functions as F
 
 from tessera.llm import bpe, langid, linededup, mixing, ngramjoin
 from tessera.llm.queries import with_quality
-from tessera.session import materialize, read_table
+from tessera.session import materialize, read_table, relieve
 
 
+def _relieved(stage):
+    """A stage that finds the heap of the ones before it given back: together they would outgrow an executor."""
+
+    @functools.wraps(stage)
+    def begun(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        relieve(spark)
+        return stage(spark, docs, sf_dir)
+
+    return begun
+
+
+@_relieved
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in none of the learned languages go: those without a letter, and those that are as far from
     every profile as unrelated letters are. The profiles are learned from the stage's own input. A document without a language
@@ -26,12 +39,14 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
+@_relieved
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that occur earlier, exactly or nearly, go; so do documents that lose all their words with them."""
     kept = linededup.dedup(docs).where((F.size("dropped") == 0) | F.col("text").rlike(r"\S"))
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+@_relieved
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies one row stays: of the document of least id, the one of least row key. Rows are told apart
     by id and text, so of an id with two texts one may go; of rows that repeat both one stays."""
@@ -43,6 +58,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.join(gone, "uid", "left_anti").unionByName(once.select(*rows.columns)).select(*docs.columns)
 
 
+@_relieved
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources come near their target weights: a document comes out as often as the mix takes it, none at all if it doesn't.
     Rows that repeat a document share its decision."""
@@ -55,6 +71,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return met.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
 
 
+@_relieved
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with the digest of what they decode to."""
     return bpe.encode_column(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=["doc_id", "source"])

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "*", partitions: int = 8, name: str = "tessera") -> SparkSession:
@@ -98,6 +99,14 @@ def release(*tables: DataFrame) -> None:
         spark.sparkContext._jvm.System.gc()
 
 
+def relieve(spark: SparkSession) -> None:
+    """Let executors and driver collect their garbage and give the heap that is free then back to the system: a JVM keeps what
+    an earlier step has grown. A few tasks a core, so that no executor is left out; an executor whose cores are busy is at work."""
+    release()
+    n = 2 * spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
+
+
 def ship(spark: SparkSession) -> None:
     """Let the executors' Python import the package: where their path lacks it, it goes along as a zip."""
     home = Path(__file__).resolve().parent.parent
