@@ -112,6 +112,8 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text"
         return pd.DataFrame([of(t) for t in texts], columns=["lang_pred", "score"])
 
     of = _Lazy(profiles, size)
+    # else Spark moves a filter on the result below it, and a second worker a task tells every language again
+    predicted = predicted.asNondeterministic()
     return docs.drop("lang_pred", "score").withColumn("__lang", predicted(F.col(text))).select("*", "__lang.lang_pred", "__lang.score").drop("__lang")
 
 

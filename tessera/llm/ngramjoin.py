@@ -208,6 +208,8 @@ def linked(classes: DataFrame, docs: DataFrame, n: int, threshold: float, chunk:
         grams = (ngrams(t, n) for t in texts)
         return pd.Series([packed(g) if set_key(g) == bytes(k) else None for g, k in zip(grams, keys, strict=True)], dtype=object)
 
+    # else Spark moves the filter below it, and a second worker a task cuts every text again
+    shingles = shingles.asNondeterministic()
     rows = texts.select("key", "part", "cells", "size", shingles("text", "key").alias("grams")).where("grams is not null")
     # of rows that repeat one is enough: cells tell rows by key
     rows = rows.select(F.explode("cells").alias("cell"), "part", "key", "size", "grams").select("cell.a", "cell.b", "part", "key", "size", "grams")
