@@ -7,9 +7,9 @@ import functools
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
-from tessera.functions.alignment import best_windows, lcs_many
+from tessera.functions.alignment import best_windows, jaro_many, lcs_many
 
 
 def lcs(a: str, b: str) -> int:
@@ -102,26 +102,42 @@ def _ratios(a: list[str], b: list[str], length: np.ndarray | None = None) -> np.
     return np.where(size > 0, 200.0 * length / np.maximum(size, 1), 100.0)
 
 
+def _each(f, texts: list[str]) -> list:
+    """``f`` of every text, told once for texts that repeat: a record is in many pairs."""
+    known = {t: f(t) for t in set(texts)}
+    return [known[t] for t in texts]
+
+
+def _in_order(text: str) -> str:
+    return " ".join(sorted(text.split()))
+
+
 def _sorted_ratios(a: list[str], b: list[str]) -> np.ndarray:
-    return _ratios([" ".join(sorted(x.split())) for x in a], [" ".join(sorted(x.split())) for x in b])
+    return _ratios(_each(_in_order, a), _each(_in_order, b))
+
+
+def _words(text: str) -> tuple[set[str], list[str]]:
+    words = set(text.split())
+    return words, sorted(words)
 
 
 def _set_ratios(a: list[str], b: list[str]) -> np.ndarray:
     """As ``token_set_ratio``: what needs no subsequence pair by pair, the rest at once."""
     out, at, one, two = np.zeros(len(a)), [], [], []
-    for i, (p, q) in enumerate(zip(a, b, strict=True)):
-        x, y = set(p.split()), set(q.split())
+    for i, ((x, p), (y, q)) in enumerate(zip(_each(_words, a), _each(_words, b), strict=True)):
         if not x or not y:
             continue
         both = x & y
         if both and (len(both) == len(x) or len(both) == len(y)):
             out[i] = 100.0
             continue
-        head = sorted(both)
-        s1, s2 = " ".join(head + sorted(x - both)), " ".join(head + sorted(y - both))
         if both:
+            head = [w for w in p if w in both]
+            s1, s2 = " ".join(head + [w for w in p if w not in both]), " ".join(head + [w for w in q if w not in both])
             s = len(" ".join(head))
             out[i] = max(200.0 * s / (s + len(s1)), 200.0 * s / (s + len(s2)))
+        else:
+            s1, s2 = " ".join(p), " ".join(q)
         at.append(i)
         one.append(s1)
         two.append(s2)
@@ -142,7 +158,13 @@ def _shares(a: list[str], b: list[str], length: np.ndarray | None = None) -> np.
 
 
 def _winklers(a: list[str], b: list[str]) -> np.ndarray:
-    return np.array([jaro_winkler(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+    j = jaro_many(a, b, jaro)
+    same = np.zeros(len(a), dtype=np.int64)
+    for i, x, y in ((i, a[i], b[i]) for i in np.flatnonzero(j > 0.7)):
+        while same[i] < min(4, len(x), len(y)) and x[same[i]] == y[same[i]]:
+            same[i] += 1
+    raised = np.where(j > 0.7, j + 0.1 * same * (1 - j), j)
+    return np.where([not x and not y for x, y in zip(a, b, strict=True)], 1.0, raised)
 
 
 def _udf(f):
@@ -162,19 +184,94 @@ FAMILY = [
 ]
 
 
-@F.pandas_udf(StructType([StructField(c, DoubleType()) for c in FAMILY]))
-def family(name_a: pd.Series, name_b: pd.Series, addr_a: pd.Series, addr_b: pd.Series, core_a: pd.Series, core_b: pd.Series, sq_a: pd.Series, sq_b: pd.Series, num_a: pd.Series, num_b: pd.Series) -> pd.DataFrame:
-    """All ratios of pairs of records; a ratio and a partial ratio share what is computed for them."""
-    plain = lambda *x: [[t or "" for t in s] for s in x]
-    name, addr, core, sq, num = plain(name_a, name_b), plain(addr_a, addr_b), plain(core_a, core_b), plain(sq_a, sq_b), plain(num_a, num_b)
+def _family(name: tuple, addr: tuple, core: tuple, sq: tuple, num: tuple) -> dict[str, np.ndarray]:
+    """``FAMILY`` of texts, each a list of first and a list of second ones; a ratio and a partial ratio share what is computed
+    for them."""
     out = {}
     for key, (a, b) in (("name", name), ("addr", addr)):
         length, best = _partials(a, b)
         out |= {f"{key}_ratio": _ratios(a, b, length), f"{key}_partial": best, f"{key}_tsort": _sorted_ratios(a, b), f"{key}_tset": _set_ratios(a, b)}
     length, best = _partials(*sq)
     out |= {"core_ratio": _ratios(*core), "core_tset": _set_ratios(*core), "sq_ratio": _ratios(*sq, length), "sq_partial": best, "sq_jw": _winklers(*sq), "sq_lcs": _shares(*sq, length)}
-    out |= {"phon_ratio": _ratios(*[[_code(x) for x in s] for s in core]), "num_tset": _set_ratios(*num)}
-    return pd.DataFrame(out)[FAMILY]
+    return out | {"phon_ratio": _ratios(*[_each(_code, s) for s in core]), "num_tset": _set_ratios(*num)}
+
+
+def _plain(*texts: pd.Series) -> tuple[list[str], ...]:
+    return tuple([t or "" for t in s] for s in texts)
+
+
+@F.pandas_udf(StructType([StructField(c, DoubleType()) for c in FAMILY]))
+def family(name_a: pd.Series, name_b: pd.Series, addr_a: pd.Series, addr_b: pd.Series, core_a: pd.Series, core_b: pd.Series, sq_a: pd.Series, sq_b: pd.Series, num_a: pd.Series, num_b: pd.Series) -> pd.DataFrame:
+    """All ratios of pairs of records."""
+    return pd.DataFrame(_family(_plain(name_a, name_b), _plain(addr_a, addr_b), _plain(core_a, core_b), _plain(sq_a, sq_b), _plain(num_a, num_b)))[FAMILY]
+
+
+#: What ``_rarities`` tells of the words of two texts.
+RARITY = ["shared_sum", "shared_max", "cov_a", "cov_b", "miss_max_a", "miss_max_b"]
+
+
+def _weighed(texts: list[str], weights: pd.Series) -> list[tuple]:
+    """(words to weights in the order of the words, weights' sum, words by falling weight) of each text. ``weights``: those of its
+    distinct words, by word; none without a word."""
+    known = {}
+    for t, w in zip(texts, weights, strict=True):
+        if t not in known:
+            own = dict(zip(sorted(set(t.split(" "))), w.tolist(), strict=True)) if t else {}
+            total = 0.0
+            for x in own.values():
+                total += x
+            known[t] = own, total, sorted(own, key=own.get, reverse=True)
+    return [known[t] for t in texts]
+
+
+def _rarities(a: list[str], b: list[str], weights_a: pd.Series, weights_b: pd.Series) -> tuple[np.ndarray, ...]:
+    """(words shared, words of the first, of the second, then ``RARITY``: sum and largest weight of the shared, their share of
+    either side, 1 if that side is empty, and the largest missing of either side)"""
+    out = np.zeros((len(a), 9))
+    for i, ((x, of_x, by_x), (y, of_y, by_y)) in enumerate(zip(_weighed(a, weights_a), _weighed(b, weights_b), strict=True)):
+        both = [w for k, w in x.items() if k in y]
+        total = 0.0
+        for w in both:
+            total += w
+        miss_x, miss_y = (next((m[k] for k in by if k not in n), 0.0) for m, by, n in ((x, by_x, y), (y, by_y, x)))
+        out[i] = len(both), len(x), len(y), total, max(both, default=0.0), total / of_x if of_x else 1.0, total / of_y if of_y else 1.0, miss_x, miss_y
+    return tuple(out.T)
+
+
+def _prefix(a: str, b: str) -> int:
+    n = 0
+    for x, y in zip(a, b, strict=False):
+        if x != y:
+            break
+        n += 1
+    return n
+
+
+def _initials(text: str) -> str | None:
+    """The words' first letters; None with fewer than two different words."""
+    words = text.split(" ")
+    return "".join(w[:1] for w in words) if len(set(words)) >= 2 else None
+
+
+#: What ``meeting`` gives besides ``FAMILY``, and its whole numbers.
+WORDS = ["core_jacc", "core_contain", "addr_jacc", *(f"{c}_{x}" for c in ("addr", "core") for x in RARITY)]
+WHOLE = ["sq_prefix", "acronym"]
+
+
+@F.pandas_udf(StructType([StructField(c, DoubleType()) for c in [*FAMILY, *WORDS]] + [StructField(c, IntegerType()) for c in WHOLE]))
+def meeting(name_a: pd.Series, name_b: pd.Series, addr_a: pd.Series, addr_b: pd.Series, core_a: pd.Series, core_b: pd.Series, num_a: pd.Series, num_b: pd.Series, w_addr_a: pd.Series, w_addr_b: pd.Series, w_core_a: pd.Series, w_core_b: pd.Series) -> pd.DataFrame:
+    """All ratios of pairs of records and what their words share; texts are words with a blank between."""
+    addr, core = _plain(addr_a, addr_b), _plain(core_a, core_b)
+    sq = tuple([t.replace(" ", "") for t in s] for s in core)
+    out = _family(_plain(name_a, name_b), addr, core, sq, _plain(num_a, num_b))
+    for column, texts, weights in (("addr", addr, (w_addr_a, w_addr_b)), ("core", core, (w_core_a, w_core_b))):
+        shared, one, two, *rest = _rarities(*texts, *weights)
+        out |= {f"{column}_jacc": shared / np.maximum(one + two - shared, 1), f"{column}_contain": shared / np.maximum(np.minimum(one, two), 1)}
+        out |= {f"{column}_{x}": v for x, v in zip(RARITY, rest, strict=True)}
+    out["sq_prefix"] = np.fromiter(map(_prefix, *sq), dtype=np.int32, count=len(sq[0]))
+    initials = [_each(_initials, s) for s in core]
+    out["acronym"] = np.array([p == y or q == x for p, q, x, y in zip(*initials, *sq, strict=True)], dtype=np.int32)
+    return pd.DataFrame(out)[[*FAMILY, *WORDS, *WHOLE]]
 
 
 _VOWELS = "AEIOU"

@@ -69,14 +69,20 @@ def _fit(rows: DataFrame, features: list[str], trees: int, depth: int) -> GBTCla
 
 
 def _score(model, rows: DataFrame, features: list[str], out: str) -> DataFrame:
-    done = model.transform(VectorAssembler(inputCols=features, outputCol="x").transform(rows))
-    return done.withColumn(out, vector_to_array("probability")[1]).drop("x", "rawPrediction", "probability", "prediction")
+    return _scores({out: model}, rows, features)
+
+
+def _scores(models: dict, rows: DataFrame, features: list[str]) -> DataFrame:
+    """``rows`` with a column of each model's scores; the features become a vector once."""
+    rows = VectorAssembler(inputCols=features, outputCol="x").transform(rows)
+    for out, m in models.items():
+        rows = m.transform(rows).withColumn(out, vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
+    return rows.drop("x")
 
 
 def _first_pass(models: list, rows: DataFrame, features: list[str]) -> DataFrame:
     features_of = rows
-    for k, m in enumerate(models):
-        rows = _score(m, rows, features, f"__p{k}")
+    rows = _scores({f"__p{k}": m for k, m in enumerate(models)}, rows, features)
     mean = (F.col("__p0") + F.col("__p1")) / 2
     own = F.when(F.col("role") != "TRAIN", mean).when(F.col("fold") == 0, F.col("__p0")).otherwise(F.col("__p1")) if "role" in rows.columns else mean
     # only pairs and scores are dealt out to be ranked; the features move once, to meet what came of it

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from tessera import catalogue
+from tessera.functions import alignment as A
 from tessera.functions import similarity as S
 from tessera.operators import blocking, features
 from tessera.plans import link
@@ -28,6 +29,28 @@ def test_ratios_of_many_pairs_equal_single_ones():
         assert best.tolist() == of(S.partial_ratio) and length.tolist() == of(S.lcs)
 
 
+def test_jaro_winkler_of_many_pairs_equals_single_ones():
+    rng = random.Random(7)
+    a = [x[: rng.randint(0, 40)] for x in _texts(rng, 1500)]
+    b = [x if rng.random() < 0.1 else x[::-1] for x in a[:700]] + _texts(rng, 800)
+    assert S._winklers(a, b).tolist() == [S.jaro_winkler(x, y) for x, y in zip(a, b, strict=True)]
+
+
+def test_a_pair_s_words_are_weighed_in_the_pass_of_its_ratios(spark):
+    d = "/root/testdata/sf0.001"
+    signed = materialize(catalogue._signed(spark, d), "signed")
+    plan = link.feature_table(settle(lambda: link.candidate_table(signed), "candidates"), signed)._jdf.queryExecution().optimizedPlan().toString()
+    assert "map_filter" not in plan and "map_from_arrays" not in plan and plan.count("ArrowEvalPython") == 1
+
+
+def test_a_long_comb_costs_few_array_operations(monkeypatch):
+    calls, plain = [], A.np.maximum
+    monkeypatch.setattr(A.np, "maximum", lambda *x, **k: calls.append(1) or plain(*x, **k))
+    a, b = ["ab" * 40] * 64, ["ba" * 40] * 64
+    assert A._comb(a, b)[0].shape == (80, 64)
+    assert len(calls) <= 80 + 80  # a diagonal each, not a cell
+
+
 def test_features_are_not_dealt_out_again(spark):
     d = "/root/testdata/sf0.001"
     signed = materialize(catalogue._signed(spark, d), "signed")
